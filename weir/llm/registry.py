@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import mojibake, unify
+from weir.llm import mojibake, repeats, unify
 from weir.sources.tables import table
 
 
@@ -19,6 +19,21 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_unified(spark, root).filter("needed").select("id", "field").join(p7_found(spark, root), ["id", "field"], "left_anti")
 
 
+def p6_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Per host, the lines in widespread clusters of near-duplicate lines."""
+    return repeats.clusters(table(spark, root, "crawled_documents"))
+
+
+def p6_cleaned(spark: SparkSession, root: str) -> DataFrame:
+    """Each page's text without the lines of widespread clusters."""
+    return repeats.cleaned(table(spark, root, "crawled_documents"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """The lines that stand on many pages of their host."""
+    return repeats.found(table(spark, root, "crawled_documents"))
+
+
 def p7_repaired(spark: SparkSession, root: str) -> DataFrame:
     """The affected fields, with what could be restored of them."""
     return mojibake.repaired(unify.fields_of(table(spark, root, "crawled_documents"))).filter("affected").drop("affected")
@@ -29,5 +44,17 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return p7_repaired(spark, root).select("id", "field")
 
 
-QUERIES = {f.__name__: f for f in (p2_unified, p2_found, p7_repaired, p7_found)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_unified, p2_found, p6_clusters, p6_cleaned, p6_found, p7_repaired, p7_found)}
+ORACLE: dict[str, str] = {
+    "p6_found": r"""
+        WITH lines AS (
+            SELECT id, host, normalized_url AS page, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
+            FROM crawled_documents WHERE host IS NOT NULL AND text IS NOT NULL),
+        keyed AS (
+            SELECT id, host, page, line_no, trim(regexp_replace(regexp_replace(lower(line), '\p{Nd}+', '0', 'g'), '[\s\p{Z}\x{85}\v]+', ' ', 'g')) AS key FROM lines),
+        filled AS (SELECT * FROM keyed WHERE key <> ''),
+        hosts AS (SELECT host, count(DISTINCT page) AS all_pages FROM filled GROUP BY host),
+        keys AS (SELECT host, key, count(DISTINCT page) AS pages FROM filled GROUP BY host, key)
+        SELECT f.id, CAST(f.line_no AS INTEGER) AS line_no FROM filled f JOIN keys k USING (host, key) JOIN hosts h USING (host)
+        WHERE k.pages >= 5 AND k.pages >= 0.1 * h.all_pages""",
+}
