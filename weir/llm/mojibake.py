@@ -55,10 +55,25 @@ def inverses() -> list[tuple[str, dict[str, int], re.Pattern]]:
     return out
 
 
+LOST = re.compile(r"�|(?:^|(?<=\s))\?\?")
+
+
 @lru_cache(1)
-def suspicious() -> re.Pattern:
-    """A quick test for fields that may hold misread or lost characters."""
-    return re.compile("|".join(["�", r"(?:^|(?<=\s))\?\?", *(p.pattern for _, _, p in inverses())]))
+def adjacent() -> re.Pattern:
+    """Two adjacent characters that some encoding shows for the first two bytes of a sequence."""
+    leads = "".join({c for _, of, _ in inverses() for c, b in of.items() if 0xC2 <= b <= 0xF4})
+    tails = "".join({c for _, of, _ in inverses() for c, b in of.items() if b <= 0xBF})
+    return re.compile(f"[{re.escape(leads)}][{re.escape(tails)}]")
+
+
+def misread(text: str) -> bool:
+    """Whether a text holds sequences of another encoding."""
+    return not text.isascii() and adjacent().search(text) is not None and any(p.search(text) for _, _, p in inverses())
+
+
+def suspicious(text: str) -> bool:
+    """A quick test for texts that may hold misread or lost characters."""
+    return LOST.search(text) is not None or misread(text)
 
 
 def undo(run: str) -> tuple[str, str | None, int]:
@@ -100,9 +115,8 @@ def slots(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task's counts: pairs in the first slots, characters after them."""
     pairs, chars = np.zeros(PAIR_SLOTS, np.int64), np.zeros(CHAR_SLOTS, np.int64)
-    test = suspicious()
     for batch in batches:
-        kept = [t for t in batch.column(0).to_pylist() if t and not test.search(t)]
+        kept = [t for t in batch.column(0).to_pylist() if t and not suspicious(t)]
         for group in pieces(kept):
             points, _ = code_points(["\n", *(t + "\n" for t in group)])
             pair, char = slots(points)
@@ -170,7 +184,7 @@ class Repairer:
             parts += [text[at:low], run]
             at = high
         repaired = "".join(parts) + text[at:]
-        left = affected and suspicious().search(repaired) is not None
+        left = affected and suspicious(repaired)
         return affected, affected and not lost and not left, repaired if affected else text, "+".join(names) or None
 
     def batch(self, texts: list[str | None]) -> list[tuple[bool, bool, str | None, str | None]]:
