@@ -139,6 +139,17 @@ class Page:
         return int(any(len(low) > len(t) and low.startswith(t) for t in self.tails))
 
 
+def only_menu(low: str) -> bool:
+    """Whether a line is three or more menu labels and nothing else."""
+    words, at, number = low.split(), 0, 0
+    while at < len(words):
+        step = next((n for n in (3, 2, 1) if " ".join(words[at : at + n]) in MENU), 0)
+        if not step:
+            return False
+        at, number = at + step, number + 1
+    return number >= 3
+
+
 def labels(page: Page) -> np.ndarray:
     """1 outside the body, 0 body, -1 not known: what the patterns say of a page's lines."""
     out = np.full(len(page.lines), -1, np.int8)
@@ -147,7 +158,7 @@ def labels(page: Page) -> np.ndarray:
         parts = [p.strip() for p in SEPARATED.split(low) if p.strip()]
         if page.is_title[k] and not SEPARATED.search(page.lines[k].replace(" – ", " ")):
             out[k], side = 0, False
-        elif OUTSIDE.match(low) or low in MENU or parts and parts[0] in MENU and (len(parts) > 2 or all(p in MENU for p in parts)) or len(parts) > 1 and sum(p in MENU for p in parts) >= len(parts) - 1:
+        elif OUTSIDE.match(low) or low in MENU or only_menu(low) or parts and parts[0] in MENU and (len(parts) > 2 or all(p in MENU for p in parts)) or len(parts) > 1 and sum(p in MENU for p in parts) >= len(parts) - 1:
             out[k], side = 1, False
         elif low in SIDE:
             out[k], side = 1, True

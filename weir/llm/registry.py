@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import mojibake, repeats, unify
+from weir.llm import blocks, mojibake, repeats, residue, unify
 from weir.sources.tables import table
 
 
+def p1_excluded(spark: SparkSession, root: str) -> DataFrame:
+    """Pages with a placeholder, or filler or a notice in place of their content; with coverage and kind."""
+    return residue.excluded(table(spark, root, "crawled_documents"))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """The pages to be excluded."""
+    return p1_excluded(spark, root).select("id")
+
+
 def p2_unified(spark: SparkSession, root: str) -> DataFrame:
     """Every title and text in one form, and whether it needed it."""
     return unify.unified(unify.fields_of(table(spark, root, "crawled_documents")))
@@ -19,6 +29,16 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_unified(spark, root).filter("needed").select("id", "field").join(p7_found(spark, root), ["id", "field"], "left_anti")
 
 
+def p5_bodies(spark: SparkSession, root: str) -> DataFrame:
+    """Each page's main body."""
+    return blocks.bodies(table(spark, root, "crawled_documents"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """The lines outside the main body, of pages that aren't excluded."""
+    return blocks.outside(table(spark, root, "crawled_documents")).join(p1_found(spark, root), "id", "left_anti")
+
+
 def p6_clusters(spark: SparkSession, root: str) -> DataFrame:
     """Per host, the lines in widespread clusters of near-duplicate lines."""
     return repeats.clusters(table(spark, root, "crawled_documents"))
@@ -44,7 +64,7 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return p7_repaired(spark, root).select("id", "field")
 
 
-QUERIES = {f.__name__: f for f in (p2_unified, p2_found, p6_clusters, p6_cleaned, p6_found, p7_repaired, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_excluded, p1_found, p2_unified, p2_found, p5_bodies, p5_found, p6_clusters, p6_cleaned, p6_found, p7_repaired, p7_found)}
 ORACLE: dict[str, str] = {
     "p6_found": r"""
         WITH lines AS (
