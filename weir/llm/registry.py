@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import blocks, mojibake, repeats, residue, unify
+from weir.llm import blocks, encode, mixing, mojibake, repeats, residue, unify
 from weir.sources.tables import table
 
 
@@ -64,7 +64,34 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return p7_repaired(spark, root).select("id", "field")
 
 
-QUERIES = {f.__name__: f for f in (p1_excluded, p1_found, p2_unified, p2_found, p5_bodies, p5_found, p6_clusters, p6_cleaned, p6_found, p7_repaired, p7_found)}
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Every document as ids."""
+    return encode.encoded(table(spark, root, "documents"))
+
+
+def p8_roundtrip(spark: SparkSession, root: str) -> DataFrame:
+    """Whether each document's ids decode to its text (null and empty texts to an empty one)."""
+    documents = table(spark, root, "documents")
+    back = encode.decoded(encode.encoded(documents))
+    return documents.select("doc_id", "text").join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same"))
+
+
+def p9_mixture(spark: SparkSession, root: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    """The share of each source, as it should be and as it is."""
+    return mixing.mixture(table(spark, root, "documents"), table(spark, root, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """The sources that fall short of their share."""
+    return p9_shares(spark, root).filter("short").select("source")
+
+
+QUERIES = {f.__name__: f for f in (p1_excluded, p1_found, p2_unified, p2_found, p5_bodies, p5_found, p6_clusters, p6_cleaned, p6_found, p7_repaired, p7_found, p8_ids, p8_roundtrip, p9_mixture, p9_shares, p9_found)}
 ORACLE: dict[str, str] = {
     "p6_found": r"""
         WITH lines AS (
