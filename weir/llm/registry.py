@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import blocks, encode, mixing, mojibake, repeats, residue, unify
+from weir.llm import blocks, encode, mixing, mojibake, reading, repeats, residue, unify
 from weir.sources.tables import table
 
 
@@ -91,7 +91,17 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return p9_shares(spark, root).filter("short").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p1_excluded, p1_found, p2_unified, p2_found, p5_bodies, p5_found, p6_clusters, p6_cleaned, p6_found, p7_repaired, p7_found, p8_ids, p8_roundtrip, p9_mixture, p9_shares, p9_found)}
+def p10_levels(spark: SparkSession, root: str) -> DataFrame:
+    """The reading level of every document."""
+    return reading.graded(table(spark, root, "documents"), table(spark, root, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """The level of the ungraded documents in English or in Nepali in Devanagari that are long enough."""
+    return reading.found(table(spark, root, "documents"), table(spark, root, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_excluded, p1_found, p2_unified, p2_found, p5_bodies, p5_found, p6_clusters, p6_cleaned, p6_found, p7_repaired, p7_found, p8_ids, p8_roundtrip, p9_mixture, p9_shares, p9_found, p10_levels, p10_found)}
 ORACLE: dict[str, str] = {
     "p6_found": r"""
         WITH lines AS (
