@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import blocks, encode, mixing, mojibake, reading, repeats, residue, unify
+from weir.llm import blocks, encode, mixing, mojibake, neighbours, reading, repeats, residue, unify
 from weir.sources.tables import table
 
 
@@ -29,6 +29,16 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_unified(spark, root).filter("needed").select("id", "field").join(p7_found(spark, root), ["id", "field"], "left_anti")
 
 
+def p3_neighbours(spark: SparkSession, root: str) -> DataFrame:
+    """The ten most similar vectors of every usable vector."""
+    return neighbours.neighbours(table(spark, root, "page_embeddings"), table(spark, root, "embedding_models"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """The pairs of at least 0.90 of which one is among the other's ten most similar."""
+    return neighbours.pairs(p3_neighbours(spark, root))
+
+
 def p5_bodies(spark: SparkSession, root: str) -> DataFrame:
     """Each page's main body."""
     return blocks.bodies(table(spark, root, "crawled_documents"))
@@ -101,7 +111,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return reading.found(table(spark, root, "documents"), table(spark, root, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_excluded, p1_found, p2_unified, p2_found, p5_bodies, p5_found, p6_clusters, p6_cleaned, p6_found, p7_repaired, p7_found, p8_ids, p8_roundtrip, p9_mixture, p9_shares, p9_found, p10_levels, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_excluded, p1_found, p2_unified, p2_found, p3_neighbours, p3_found, p5_bodies, p5_found, p6_clusters, p6_cleaned, p6_found, p7_repaired, p7_found, p8_ids, p8_roundtrip, p9_mixture, p9_shares, p9_found, p10_levels, p10_found)}
 ORACLE: dict[str, str] = {
     "p6_found": r"""
         WITH lines AS (
