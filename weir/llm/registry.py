@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import blocks, encode, mixing, mojibake, neighbours, reading, repeats, residue, unify
+from weir.llm import blocks, encode, langs, mixing, mojibake, neighbours, reading, repeats, residue, unify
 from weir.sources.tables import table
 
 
@@ -39,6 +39,17 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbours.pairs(p3_neighbours(spark, root))
 
 
+def p4_languages(spark: SparkSession, root: str) -> DataFrame:
+    """The language of each text and of its long lines in another one, with confidence and what its record declares."""
+    return langs.stretches(table(spark, root, "crawled_documents"), table(spark, root, "page_records"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Texts whose record doesn't name their language, and long lines in another one; without excluded and wrongly decoded pages."""
+    left_out = p1_found(spark, root).unionByName(p7_found(spark, root).select("id")).distinct()
+    return p4_languages(spark, root).filter("wrong").select("id", "line_no", "lang").join(left_out, "id", "left_anti")
+
+
 def p5_bodies(spark: SparkSession, root: str) -> DataFrame:
     """Each page's main body."""
     return blocks.bodies(table(spark, root, "crawled_documents"))
@@ -111,7 +122,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return reading.found(table(spark, root, "documents"), table(spark, root, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_excluded, p1_found, p2_unified, p2_found, p3_neighbours, p3_found, p5_bodies, p5_found, p6_clusters, p6_cleaned, p6_found, p7_repaired, p7_found, p8_ids, p8_roundtrip, p9_mixture, p9_shares, p9_found, p10_levels, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_excluded, p1_found, p2_unified, p2_found, p3_neighbours, p3_found, p4_languages, p4_found, p5_bodies, p5_found, p6_clusters, p6_cleaned, p6_found, p7_repaired, p7_found, p8_ids, p8_roundtrip, p9_mixture, p9_shares, p9_found, p10_levels, p10_found)}
 ORACLE: dict[str, str] = {
     "p6_found": r"""
         WITH lines AS (
