@@ -29,3 +29,8 @@ def detected_language(text: Column) -> Column:
     deva, latin = F.regexp_count(text, F.lit(r"[\x{0900}-\x{097F}&&\p{L}]")), F.regexp_count(text, F.lit("[A-Za-z]"))
     both = deva + latin
     return F.when(text.isNull() | (both == 0), "unknown").when(deva >= 0.8 * both, "ne").when(latin >= 0.8 * both, "en").otherwise("mixed")
+
+
+def micros(moment: Column | str) -> Column:
+    """Microseconds since 1970 of a time with or without zone (the session's zone is UTC)."""
+    return F.unix_micros((F.col(moment) if isinstance(moment, str) else moment).cast("timestamp"))

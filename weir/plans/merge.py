@@ -79,7 +79,7 @@ def exact_dups(spark: SparkSession, root: str) -> DataFrame:
 SIMHASH_SQL = """tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\x{0900}-\\x{097F}]+')) AS token FROM documents WHERE text IS NOT NULL),
     votes AS (SELECT doc_id, b, sum(CASE WHEN (h >> b) & 1 = 1 THEN n ELSE -n END) AS v FROM (
         SELECT doc_id, count(*) AS n, CAST(concat('0x', right(sha256(token), 16)) AS UBIGINT) AS h FROM tokens GROUP BY doc_id, token) CROSS JOIN range(64) AS r(b) GROUP BY doc_id, b),
-    hashes AS (SELECT doc_id, sum(CASE WHEN v > 0 THEN (1::UBIGINT << b::UBIGINT)::UHUGEINT ELSE 0::UHUGEINT END)::UBIGINT AS h FROM votes GROUP BY doc_id)"""
+    hashes AS (SELECT doc_id, bit_or(CASE WHEN v > 0 THEN 1::UBIGINT << b::UBIGINT ELSE 0::UBIGINT END) AS h FROM votes GROUP BY doc_id)"""
 
 
 @query(f"WITH {SIMHASH_SQL} SELECT d.doc_id, lpad(lower(to_hex(coalesce(h, 0::UBIGINT))), 16, '0') AS simhash FROM documents d LEFT JOIN hashes USING (doc_id) WHERE d.text IS NOT NULL")
