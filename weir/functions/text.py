@@ -14,9 +14,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+#: White space of any script, spelled out: a class of code points is tested far faster than a property.
+SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
 def collapsed(text: Column) -> Column:
     """White space as single blanks, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
 def cleaned(text: Column) -> Column:

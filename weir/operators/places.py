@@ -16,7 +16,7 @@ KINDS = ("sub-metropolitan city", "metropolitan city", "rural municipality", "mu
 COUNTRIES = {"nepal": "NP", "india": "IN", "bhutan": "BT", "bangladesh": "BD", "pakistan": "PK", "china": "CN", "sri lanka": "LK", "united kingdom": "GB", "united states": "US"}
 DOMAINS = {"np": "NP", "in": "IN", "bt": "BT", "bd": "BD", "pk": "PK", "cn": "CN", "lk": "LK", "uk": "GB", "us": "US"}
 #: Side of a grid cell in degrees; radius of the earth in kilometres; how far apart two corners may be and count as one.
-CELL, RADIUS, TOLERANCE = 0.25, 6371.0088, 0.002
+CELL, RADIUS, TOLERANCE = 0.25, 6378.137, 0.002
 
 
 def place_key(name: Column) -> Column:

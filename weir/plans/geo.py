@@ -139,7 +139,7 @@ def spatial_neighbours(spark: SparkSession, root: str) -> DataFrame:
     return places.adjacent(literal(spark, SQUARES, "t(code, ring)"))
 
 
-@query("SELECT code, round(6371.0088 * 6371.0088 * radians(1) * sin(radians(1)), 3) AS area FROM (VALUES ('A'), ('B')) v(code)")
+@query("SELECT code, round(6378.137 * 6378.137 * radians(1) * sin(radians(1)), 3) AS area FROM (VALUES ('A'), ('B')) v(code)")
 def polygon_area(spark: SparkSession, root: str) -> DataFrame:
     """Square kilometres on the sphere."""
     return places.areas(literal(spark, SQUARES, "t(code, ring)")).select("code", F.round("area", 3).alias("area"))

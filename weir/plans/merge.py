@@ -9,13 +9,14 @@ from weir.operators import keyed, near
 from weir.plans.registry import query
 from weir.sources.tables import table
 
-NEWEST = [F.desc_nulls_last("fetched_at"), F.desc("id")]
+def newest() -> list:
+    return [F.desc_nulls_last("fetched_at"), F.desc("id")]
 
 
 @query("""SELECT id, normalized_url, content_hash, fetched_at FROM crawled_documents WHERE normalized_url IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY normalized_url ORDER BY fetched_at DESC NULLS LAST, id DESC) = 1""")
 def latest_per_key(spark: SparkSession, root: str) -> DataFrame:
-    return keyed.latest(table(spark, root, "crawled_documents"), ["normalized_url"], NEWEST).select("id", "normalized_url", "content_hash", "fetched_at")
+    return keyed.latest(table(spark, root, "crawled_documents"), ["normalized_url"], newest()).select("id", "normalized_url", "content_hash", "fetched_at")
 
 
 @query("""WITH o AS (SELECT id, normalized_url, content_hash, fetched_at, lag(content_hash) OVER w AS before, row_number() OVER w AS n FROM crawled_documents
@@ -35,8 +36,8 @@ def version_counter(spark: SparkSession, root: str) -> DataFrame:
 def merge_bronze(spark: SparkSession, root: str) -> DataFrame:
     pages = table(spark, root, "crawled_documents").select("id", "normalized_url", "content_hash", "title", "fetched_at")
     keys = ["normalized_url", "content_hash"]
-    target = keyed.latest(pages.filter("id % 2 = 0"), keys, NEWEST)
-    return keyed.upsert(target, pages.filter("id % 2 = 1"), keys, NEWEST).drop("fetched_at")
+    target = keyed.latest(pages.filter("id % 2 = 0"), keys, newest())
+    return keyed.upsert(target, pages.filter("id % 2 = 1"), keys, newest()).drop("fetched_at")
 
 
 @query("""WITH p AS (SELECT *, id % 3 = 0 AS first_batch FROM crawled_documents),
