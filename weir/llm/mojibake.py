@@ -59,27 +59,48 @@ LOST = re.compile(r"�|(?:^|(?<=\s))\?\?")
 
 
 @lru_cache(1)
-def adjacent() -> re.Pattern:
-    """Two adjacent characters that some encoding shows for the first two bytes of a sequence."""
-    leads = "".join({c for _, of, _ in inverses() for c, b in of.items() if 0xC2 <= b <= 0xF4})
-    tails = "".join({c for _, of, _ in inverses() for c, b in of.items() if b <= 0xBF})
-    return re.compile(f"[{re.escape(leads)}][{re.escape(tails)}]")
+def adjacent() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each encoding and 16-bit code: whether it shows the code for the first byte of a sequence, and for a later one; the last pair holds for any."""
+    tables = []
+    for _, byte_of, _ in inverses():
+        leads, tails = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        for char, byte in byte_of.items():
+            leads[ord(char)] = 0xC2 <= byte <= 0xF4
+            tails[ord(char)] = byte <= 0xBF
+        tables.append((leads, tails))
+    return [*tables, (np.any([a for a, _ in tables], 0), np.any([b for _, b in tables], 0))]
+
+
+def beside(codes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether a first and a later byte stand side by side."""
+    return bool((table[0][codes[:-1]] & table[1][codes[1:]]).any())
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
 
 
 def misread(text: str) -> bool:
-    """Whether a text holds sequences of another encoding."""
-    return not text.isascii() and adjacent().search(text) is not None and any(p.search(text) for _, _, p in inverses())
+    """Whether a text holds sequences of another encoding: two such characters side by side are looked for first."""
+    if text.isascii():
+        return False
+    codes = codes_of(text)
+    return beside(codes, adjacent()[-1]) and any(beside(codes, t) and p.search(text) for t, (_, _, p) in zip(adjacent(), inverses(), strict=False))
 
 
 def suspicious(text: str) -> bool:
     """A quick test for texts that may hold misread or lost characters."""
-    return LOST.search(text) is not None or misread(text)
+    return ("�" in text or "??" in text) and LOST.search(text) is not None or misread(text)
 
 
 def undo(run: str) -> tuple[str, str | None, int]:
     """The run with the sequences of the best encoding decoded; which encoding; how many characters it explains."""
     best: tuple[str, str | None, int] = (run, None, 0)
-    for name, byte_of, pattern in inverses():
+    codes = codes_of(run)
+    beyond = int((codes > 127).sum())
+    for table, (name, byte_of, pattern) in zip(adjacent(), inverses(), strict=False):
+        if not beside(codes, table):
+            continue
         done = 0
 
         def decode(match: re.Match, of: dict[str, int] = byte_of) -> str:
@@ -95,6 +116,8 @@ def undo(run: str) -> tuple[str, str | None, int]:
         text = pattern.sub(decode, run)
         if done > best[2]:
             best = text, name, done
+            if done >= beyond:
+                break  # all is explained; later encodings are less likely
     return best
 
 
