@@ -7,7 +7,7 @@ operator runs, on a bounded sample of pages whose lines are labelled by patterns
 know carry no loss, and some sampled pages are damaged on purpose so that lost letters don't mislead it.
 
 Results: null and blank texts have no blocks; blank lines get no label; pages of any length are read whole. The sample is
-the `TRAIN_PAGES` pages with the smallest hash of their id.
+about `TRAIN_PAGES` pages, those with the smallest hash of their id.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weir.llm.common import sampled
 from weir.llm.plain import plain
 from weir.llm.recurrent import Adam, Lstm, uniform
 from weir.session import spread
@@ -267,7 +268,7 @@ class Labeller:
 def trained(pages: DataFrame) -> Labeller:
     """A labeller trained on the sample."""
     rng = np.random.default_rng(5)
-    sample = pages.filter("text IS NOT NULL AND trim(text) <> ''").orderBy(F.xxhash64("id"), "id").limit(TRAIN_PAGES).collect()
+    sample = sorted(sampled(pages, "id", TRAIN_PAGES, pages.count()).filter("text IS NOT NULL AND trim(text) <> ''").collect(), key=lambda r: r["id"])
     memo: dict = {}
     rows, truth = [], []
     for r in sample:

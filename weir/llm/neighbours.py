@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weir.llm.common import sampled
 from weir.session import cut, spread
 
 #: Neighbours of a vector; vectors in a posting list, about; vectors of a model the centroids are fitted on at most, and centroids at most.
@@ -122,8 +123,8 @@ def fitted(classes: DataFrame) -> dict[str, Index]:
     """An index for each model, from its vectors with the smallest hash of their id."""
     out = {}
     for row in classes.groupBy("model").count().collect():  # a row for each listed model
-        sample = classes.filter(F.col("model") == row["model"]).orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("embedding").toArrow()
-        out[row["model"]] = Index(matrix(sample.column(0)), row["count"])
+        sample = sampled(classes.filter(F.col("model") == row["model"]), "class", SAMPLE, row["count"]).select("class", "embedding").toArrow().sort_by("class")
+        out[row["model"]] = Index(matrix(sample.column(1)), row["count"])
     return out
 
 

@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weir.llm.common import sampled
 from weir.llm.recurrent import softmax
 from weir.session import spread
 
@@ -121,8 +122,9 @@ def calibrated(grades: dict[str, float], graded: list[tuple[list[str], int]], st
 def fitted(documents: DataFrame, labels: DataFrame) -> Grader:
     """Fitted on the graded documents, a bounded number of which comes to the driver."""
     kept = labels.filter(f"grade_level BETWEEN 1 AND {GRADES}").select("doc_id", "grade_level")
-    rows = documents.select("doc_id", "text").filter("text IS NOT NULL").join(kept, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "grade_level").limit(FIT_DOCUMENTS)
-    graded = [(words_of(r["text"]), r["grade_level"]) for r in rows.collect()]
+    few = sampled(kept, "doc_id", FIT_DOCUMENTS, kept.count())
+    rows = documents.select("doc_id", "text").filter("text IS NOT NULL").join(few, "doc_id").collect()
+    graded = [(words_of(r["text"]), r["grade_level"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["grade_level"]))]
     grades = word_grades(graded)
     return calibrated(grades, graded)
 
