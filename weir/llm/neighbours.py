@@ -28,7 +28,7 @@ NEIGHBOURS, LIST, SAMPLE, CENTROIDS = 10, 160, 60_000, 8192
 #: Edges of a centroid in the graph; candidates kept by the search and its rounds.
 EDGES, BEAM, ROUNDS = 14, 20, 5
 #: A vector is in the lists, and searches the lists, whose centroid is at most so many times as far as the nearest; and how many.
-POST_RATIO, POSTS, SEARCH_RATIO, SEARCHES = 1.12, 3, 1.30, 10
+POST_RATIO, POSTS, SEARCH_RATIO, SEARCHES = 1.15, 3, 1.60, 12
 #: Rows of a list that one task compares with others; parts a class's copies are spread over.
 TILE, SALTS = 4000, 16
 
