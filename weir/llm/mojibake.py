@@ -51,10 +51,16 @@ def inverses() -> list[tuple[str, dict[str, int], re.Pattern]]:
         shown = lambda low, high, of=byte_of: "[" + "".join(re.escape(c) for c, b in of.items() if low <= b <= high) + "]"
         tail = shown(0x80, 0xBF)
         pattern = f"{shown(0xC2, 0xDF)}{tail}|{shown(0xE0, 0xEF)}{tail}{{2}}|{shown(0xF0, 0xF4)}{tail}{{3}}"
-        out.append((name, byte_of, re.compile(f"(?:{pattern})+")))
+        out.append((name, byte_of, re.compile(f"(?:{pattern})(?: ?(?:{pattern}))*")))
     return out
 
 
+@lru_cache(1)
+def translations() -> list[dict[int, int]]:
+    """Of each encoding: from its characters to those whose numbers are their bytes."""
+    return [{ord(c): b for c, b in byte_of.items()} for _, byte_of, _ in inverses()]
+
+
 LOST = re.compile(r"�|(?:^|(?<=\s))\?\?")
 
 
@@ -98,19 +104,28 @@ def undo(run: str) -> tuple[str, str | None, int]:
     best: tuple[str, str | None, int] = (run, None, 0)
     codes = codes_of(run)
     beyond = int((codes > 127).sum())
-    for table, (name, byte_of, pattern) in zip(adjacent(), inverses(), strict=False):
+    for table, to_bytes, (name, _, pattern) in zip(adjacent(), translations(), inverses(), strict=False):
         if not beside(codes, table):
             continue
         done = 0
 
-        def decode(match: re.Match, of: dict[str, int] = byte_of) -> str:
+        def decode(match: re.Match, to_bytes: dict[int, int] = to_bytes) -> str:
             nonlocal done
-            raw = bytes(of[c] for c in match[0])
+            raw = match[0].translate(to_bytes).encode("latin-1")
             try:
                 text = raw.decode("utf-8")
             except UnicodeDecodeError:
-                return match[0]
-            done += len(match[0])
+                return " ".join(one_by_one(part, to_bytes) for part in match[0].split(" "))
+            done += len(raw) - raw.count(b" ")
+            return text
+
+        def one_by_one(part: str, to_bytes: dict[int, int]) -> str:
+            nonlocal done
+            try:
+                text = part.translate(to_bytes).encode("latin-1").decode("utf-8")
+            except UnicodeDecodeError:
+                return part
+            done += len(part)
             return text
 
         text = pattern.sub(decode, run)
