@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -70,30 +69,39 @@ SHAPE = re.compile(r"[\wऀ-ॿ‍?�]+|[^\w\s]")
 DIGITS = re.compile(r"\d+")
 
 
-def slot(text: str, memo: dict[str, int] = {}) -> int:  # noqa: B006 - remembered between calls
-    known = memo.get(text)
-    if known is None:
-        if len(memo) > 400_000:
-            memo.clear()
-        known = memo[text] = zlib.crc32(text.encode("utf-8", "surrogatepass")) % (WORD_SLOTS - 1) + 1
-    return known
+MEMO: dict[str, int] = {}
+
+
+def hashed(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) % (WORD_SLOTS - 1) + 1
+
+
+def slot(text: str) -> int:
+    """The slot of a word, remembered."""
+    if len(MEMO) > 400_000:
+        MEMO.clear()
+    found = MEMO[text] = hashed(text)
+    return found
 
 
 def outline(line: str) -> list[str]:
     """How the line begins, with its letters replaced by their number: it outlives lost letters."""
-    shape = [str(min(len(w), 12)) if w[0].isalnum() or w[0] in "?�" else w for w in (m[0] for m in islice(SHAPE.finditer(line), 10))]
-    return ["#" + " ".join(shape), *("#" + a + " " + b for a, b in zip(shape[:6], shape[1:7], strict=False))]
+    shape = [str(min(len(w), 12)) if w[0].isalnum() or w[0] in "?�" else w for w in SHAPE.findall(line[:64])[:7]]
+    return ["#" + " ".join(shape), *("#" + a + " " + b for a, b in zip(shape[:4], shape[1:5], strict=False))]
 
 
 def features(line: str, low: str) -> tuple[list[int], list[float]]:
     """Slots of a line's hashed words, pairs at its beginning and outline; and the part of the path vector it has by itself."""
     found = WORD.findall(low)
-    words = [*found, *(a + " " + b for a, b in zip(found[:6], found[1:7], strict=False)), *outline(line), "<" + low[:40] + ">"]
+    get = MEMO.get
+    words = [get(w) or slot(w) for w in found]
+    words += [get(w) or slot(w) for w in (*(a + " " + b for a, b in zip(found[:4], found[1:5], strict=False)), *outline(line))]
+    words.append(hashed("<" + low[:40] + ">"))
     number, end = len(found), line[-12:]
     parts = [p.strip() for p in SEPARATED.split(low)] if SEPARATED.search(low) else []
     menu = low in MENU or len(parts) > 1 and all(p in MENU for p in parts if p)
     shape = [min(number, 30) / 10, float(number <= 3), float(number >= 12), float(bool(SENTENCE.search(end))), float(end.endswith("?")), float(bool(LIST.match(low))), min(max(len(parts) - 1, 0), 6) / 3, float(line.isupper()), float("0" in low), float(menu), float(low in SIDE), float("�" in line or "??" in line)]
-    return [slot(w) for w in words], shape
+    return words, shape
 
 
 class Page:
