@@ -48,8 +48,8 @@ def length_batches(batches: Iterator[pa.RecordBatch], name: str, folder: str | N
 
 def lengths(documents: DataFrame, targets: DataFrame, name: str = NAME, folder: str | None = None) -> DataFrame:
     """(doc_id, source, tokens, salt, position) of the documents of the targets' sources; the last two are seeded."""
-    kept = documents.filter("text IS NOT NULL").select("doc_id", "source", "text").join(targets.select("source"), "source", "left_semi").select("doc_id", "source", "text")
-    sized = spread(kept).mapInArrow(lambda batches: length_batches(batches, name, folder), "doc_id long, source string, tokens long")
+    kept = spread(documents.filter("text IS NOT NULL").select("doc_id", "source", "text")).join(targets.select("source"), "source", "left_semi").select("doc_id", "source", "text")
+    sized = kept.mapInArrow(lambda batches: length_batches(batches, name, folder), "doc_id long, source string, tokens long")
     position = F.xxhash64(F.lit(SEED), "doc_id")
     return sized.withColumn("position", position).withColumn("salt", F.pmod(position, F.lit(SALTS)).cast("int"))
 
