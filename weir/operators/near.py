@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weir.functions.text import tokens
-from weir.session import cut
+from weir.session import cut, spread
 
 BANDS, BITS = 4, 3
 
@@ -20,7 +20,7 @@ def simhash(df: DataFrame, id: str, text: str) -> DataFrame:
 
     The votes are counted with array functions within a row's distinct tokens, 64 sums at once, after a partial count.
     """
-    counted = df.select(id, F.explode(tokens(F.col(text))).alias("token")).groupBy(id, "token").count()
+    counted = spread(df.select(id, text)).select(id, F.explode(tokens(F.col(text))).alias("token")).groupBy(id, "token").count()
     hashed = counted.withColumn("h", F.conv(F.substring(F.sha2("token", 256), 49, 16), 16, -10).cast("long"))
     bit = lambda k: F.sum(F.when(F.getbit("h", F.lit(k)) == 1, F.col("count")).otherwise(-F.col("count")))
     votes = hashed.groupBy(id).agg(*[bit(k).alias(f"b{k}") for k in range(64)])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weir.functions.text import tokens
-from weir.session import cut
+from weir.session import cut, spread
 
 K1, B, FUSION, DAMPING = 1.2, 0.75, 60, 0.85
 
@@ -22,12 +22,12 @@ def quoted(text: str) -> str:
 
 def postings(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(term, id, tf)."""
-    return docs.select(id, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", id).agg(F.count("*").alias("tf"))
+    return spread(docs.select(id, text)).select(id, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", id).agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, id: str, text: str, terms: list[str]) -> DataFrame:
     """(id, score) of the documents that hold a term. One pass over the texts, without postings of other terms."""
-    counted = docs.filter(F.col(text).isNotNull()).select(id, tokens(F.col(text)).alias("t")).select(id, F.size("t").alias("length"), *[F.expr(f"size(filter(t, x -> x = {quoted(w)}))").alias(f"tf{k}") for k, w in enumerate(terms)])
+    counted = spread(docs.filter(F.col(text).isNotNull()).select(id, text)).select(id, tokens(F.col(text)).alias("t")).select(id, F.size("t").alias("length"), *[F.expr(f"size(filter(t, x -> x = {quoted(w)}))").alias(f"tf{k}") for k, w in enumerate(terms)])
     counted = counted.filter("length > 0")
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     row = F.broadcast(stats)  # one row

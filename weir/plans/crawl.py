@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weir.functions import pages as html
 from weir.operators import frontier, keyed
 from weir.plans.registry import literal, query
+from weir.session import spread
 from weir.sources.tables import table
 
 
@@ -202,4 +203,4 @@ def batch_outcome(spark: SparkSession, root: str) -> DataFrame:
 def html_structure(spark: SparkSession, root: str) -> DataFrame:
     """Pages written as markup and read again: what the parser finds in each."""
     wrap = F.concat(F.lit("<html><body><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1><p>"), F.replace(F.replace("text", F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></body></html>"))
-    return table(spark, root, "crawled_documents").filter("text IS NOT NULL").select("id", html.structure(wrap).alias("s")).select("id", "s.nodes", "s.depth", F.size("s.headings").alias("headings"), F.char_length("s.text").alias("chars"))
+    return spread(table(spark, root, "crawled_documents").filter("text IS NOT NULL").select("id", "title", "text")).select("id", html.structure(wrap).alias("s")).select("id", "s.nodes", "s.depth", F.size("s.headings").alias("headings"), F.char_length("s.text").alias("chars"))

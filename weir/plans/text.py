@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weir.functions import pages as html
 from weir.functions.text import cleaned, detected_language, tokens
 from weir.plans.registry import literal, query
+from weir.session import spread
 from weir.sources.tables import table
 
 TOKENS_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\x{0900}-\\x{097F}]+')"
@@ -18,7 +19,7 @@ CLEAN_SQL = "trim(regexp_replace(regexp_replace(COLUMN, '[\\x00-\\x08\\x0b\\x0c\
 def text_normalize(spark: SparkSession, root: str) -> DataFrame:
     """Cleaned in the JVM; only what isn't plain ASCII is composed in Python."""
     text = cleaned(F.col("text"))
-    rows = table(spark, root, "documents").select("doc_id", text.alias("text"))
+    rows = spread(table(spark, root, "documents").select("doc_id", "text")).select("doc_id", text.alias("text"))
     return rows.filter("text IS NULL OR NOT text RLIKE '[^\\\\x00-\\\\x7f]'").unionByName(rows.filter("text RLIKE '[^\\\\x00-\\\\x7f]'").select("doc_id", html.nfc(F.col("text")).alias("text")))
 
 
