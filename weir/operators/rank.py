@@ -27,8 +27,8 @@ def postings(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 def bm25(docs: DataFrame, id: str, text: str, terms: list[str]) -> DataFrame:
     """(id, score) of the documents that hold a term. One pass over the texts, without postings of other terms."""
-    counted = spread(docs.filter(F.col(text).isNotNull()).select(id, text)).select(id, tokens(F.col(text)).alias("t")).select(id, F.size("t").alias("length"), *[F.expr(f"size(filter(t, x -> x = {quoted(w)}))").alias(f"tf{k}") for k, w in enumerate(terms)])
-    counted = counted.filter("length > 0")
+    found = spread(docs.filter(F.col(text).isNotNull()).select(id, text)).select(id, tokens(F.col(text)).alias("t")).select(id, F.size("t").alias("length"), *[F.expr(f"size(filter(t, x -> x = {quoted(w)}))").alias(f"tf{k}") for k, w in enumerate(terms)])
+    counted = cut(found).filter("length > 0")  # the texts are cut into tokens once; statistics and hits read the counts
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
     row = F.broadcast(stats)  # one row
     hits = counted.filter(" OR ".join(f"tf{k} > 0" for k in range(len(terms)))).join(row)
