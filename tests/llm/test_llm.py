@@ -37,6 +37,15 @@ def test_residue(spark):
     assert got == {60: "placeholder", 61: "notice", 62: "filler"}
 
 
+@pytest.mark.parametrize("copies", [1, 30, 300])
+def test_residue_with_many_copies(spark, copies):
+    notices = ["404\nPage not found\nThe page you are looking for may have moved.", "We are down for maintenance, back in 20 minutes.", "Your text goes here. Add a short description of the service."]
+    varied = [f"The requested address /{a}/{b} was not found on this server." for a in ("news", "ward", "budget", "tender") for b in ("ram", "sita", "hari", "gita")]
+    texts = prose(600) + notices * copies + varied * max(1, copies // 16)
+    got = {r["id"] for r in residue.excluded(pages(spark, texts)).collect()}
+    assert got == set(range(600, len(texts)))
+
+
 def test_unify(spark):
     cases = {"café": "café", "Ｈｅａｌｔｈ": "Health", "thе соmmunіtу": "the community", "Добро": "Добро", "ofﬁce": "office", "गर्‍यो": "गर्‍यो", "👨‍👩‍👧 ❤️": "👨‍👩‍👧 ❤️", "a b​": "a b", "“It’s” – …": "“It’s” – …", "फ़": unicodedata.normalize("NFC", "फ़"), "": "", "﷐x": "x"}
     df = spark.createDataFrame([(k, "text", t) for k, t in enumerate([*cases, None])], "id long, field string, stored string")
