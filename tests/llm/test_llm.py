@@ -87,6 +87,14 @@ def test_repeats_against_brute_force(spark):
     assert sorted((r["id"], r["line_no"]) for r in repeats.found(df).collect()) == wanted
 
 
+def test_bylines_that_differ_by_name_are_one_cluster(spark):
+    names = ["Ram Sharma", "Sita Rai", "Kamala Gurung", "Bishnu Thapa", "Om Li", "Xavier Quintero", "Wangchuk Dorje", "Éva Zöld"]
+    texts = [f"{PROSE[k % 5]} {k} {'abcdefghij'[k] * 40}\nPosted by {n} on 2078-2-{k}\n{'SIGN IN' if k % 2 else 'Sign in'} here" for k, n in enumerate(names)]
+    got = [r for r in repeats.clusters(pages(spark, texts)).collect() if r["cluster_pages"] == 8]
+    assert sorted((r["pages"], r["near"]) for r in got) == [(1, 8)] * 8 + [(8, 1)]
+    assert {r["kept_text"] for r in repeats.cleaned(pages(spark, texts)).collect()} == {t.split("\n")[0] for t in texts}
+
+
 def test_recurrent_gradients():
     rng = np.random.default_rng(0)
     for kind in ("lstm", "gru"):

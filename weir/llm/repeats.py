@@ -28,6 +28,7 @@ from weir.session import cut, spread
 LEAST_PAGES, LEAST_SHARE = 5, 0.1
 #: Bands and rows of the minhash signature, and characters in a shingle.
 BANDS, ROWS, SHINGLE = 4, 4, 5
+SIGNED = ["s0", "s1", "s2", "s3"]
 #: Parts into which the rows of one frequent line are spread when they are marked.
 SALTS = 16
 
@@ -43,8 +44,9 @@ def line_key(line: str) -> str:
     return " ".join(DIGITS.sub("0", line.lower()).split())
 
 
-def masked(key: str) -> str:
-    return DATE.sub("0", NAME.sub("N", key))
+def masked(line: str) -> str:
+    """The key with names and dates masked; names are told by their capitals, so in the line as it is stored."""
+    return DATE.sub("0", line_key(NAME.sub("N", line)))
 
 
 def signatures(texts: list[str]) -> np.ndarray:
@@ -77,16 +79,21 @@ def signatures(texts: list[str]) -> np.ndarray:
 
 
 def line_batches(batches: Iterator[pa.RecordBatch], banded: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (id, host, page, line_no, a, b[, bands]) of the non-blank lines; a and b are the 128-bit hash of the line's key."""
+    """Rows (id, host, page, line_no, a, b[, form, s0, s1, s2, s3]) of the non-blank lines; a and b are the 128-bit hash of the line's key.
+
+    form and s0 to s3, the hash of the masked line and its bands, may differ between lines of one key in letter case.
+    """
     for batch in batches:
         ids, hosts, urls, texts = (batch.column(k) for k in range(4))
-        origin, numbers, code, of = [], [], [], {}
+        origin, numbers, code, of, stored, shape = [], [], [], {}, [], {}
         for row, text in enumerate(texts.to_pylist()):
             for number, line in enumerate(text.split("\n")):
                 if (key := line_key(line)) != "":
                     origin.append(row)
                     numbers.append(number)
                     code.append(of.setdefault(key, len(of)))
+                    if banded:
+                        stored.append(shape.setdefault(line, len(shape)))
         if not origin:
             continue
         keys, codes, rows = list(of), np.array(code), pa.array(origin, pa.int32())
@@ -94,10 +101,12 @@ def line_batches(batches: Iterator[pa.RecordBatch], banded: bool) -> Iterator[pa
         columns = [ids.take(rows), hosts.take(rows), urls.take(rows), pa.array(numbers, pa.int32()), pa.array(hashed[:, 0]), pa.array(hashed[:, 1])]
         names = ["id", "host", "page", "line_no", "a", "b"]
         if banded:
-            near, same = np.unique(np.array([masked(k) for k in keys], object), return_inverse=True)
-            bands = signatures(list(near))[same][codes].view(np.int64)
-            columns.append(pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel())))
-            names.append("bands")
+            near, same = np.unique(np.array([masked(line) for line in shape], object), return_inverse=True)
+            at = same[np.array(stored)]
+            forms = np.array([xxhash.xxh3_64_intdigest(x) for x in near], np.uint64).view(np.int64)
+            bands = signatures(list(near)).view(np.int64)
+            columns += [pa.array(forms[at]), *(pa.array(bands[at, k]) for k in range(BANDS))]
+            names += ["form", *SIGNED]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -108,14 +117,14 @@ def with_text(pages: DataFrame) -> DataFrame:
 
 def lines_of(pages: DataFrame, banded: bool = False) -> DataFrame:
     """The non-blank lines, with the bands of their signatures if wanted."""
-    schema = "id long, host string, page long, line_no int, a long, b long" + ", bands array<long>" * banded
+    schema = "id long, host string, page long, line_no int, a long, b long" + ", form long, s0 long, s1 long, s2 long, s3 long" * banded
     return spread(with_text(pages)).mapInArrow(lambda batches: line_batches(batches, banded), schema)
 
 
 def counted(pages: DataFrame) -> DataFrame:
-    """(host, a, b, bands, pages): on how many of a host's pages each line stands."""
-    lines = lines_of(pages, banded=True)
-    return lines.select("host", "a", "b", "bands", "page").distinct().groupBy("host", "a", "b", "bands").agg(F.count("*").alias("pages"))
+    """(host, a, b, s0, s1, s2, s3, pages): on how many of a host's pages each line stands; one signature for all its letter cases."""
+    one = [*[F.max_by(c, "form").alias(c) for c in SIGNED], F.max("form").alias("form")]
+    return lines_of(pages, banded=True).groupBy("host", "a", "b", "page").agg(*one).groupBy("host", "a", "b").agg(*one[:-1], F.count("*").alias("pages"))
 
 
 def host_pages(pages: DataFrame) -> DataFrame:
@@ -130,7 +139,7 @@ def clusters(pages: DataFrame) -> DataFrame:
     of its pages, and `near` the number of its different lines.
     """
     each = cut(counted(pages))
-    banded = each.select("host", "a", "b", "pages", F.posexplode("bands").alias("band", "cluster"))
+    banded = each.select("host", "a", "b", "pages", F.posexplode(F.array(*SIGNED)).alias("band", "cluster"))
     sums = banded.groupBy("host", "band", "cluster").agg(F.sum("pages").alias("cluster_pages"), F.count("*").alias("near"))
     kept = sums.filter(F.col("cluster_pages") >= LEAST_PAGES).join(host_pages(pages), "host").filter(F.col("cluster_pages") >= LEAST_SHARE * F.col("all_pages"))
     best = F.struct("cluster_pages", "near", "band", "cluster")
