@@ -95,6 +95,32 @@ def test_bylines_that_differ_by_name_are_one_cluster(spark):
     assert {r["kept_text"] for r in repeats.cleaned(pages(spark, texts)).collect()} == {t.split("\n")[0] for t in texts}
 
 
+def test_similar_lines_of_one_page_are_one_page(spark):
+    rows = [f"Ward number {a} of the municipality of Lamgaun: road repair and school meals for all residents" for a in "one two six ten five four nine red blue east west north south old new big".split()]
+    texts = ["\n".join(rows)] + [f"{c * 30} {PROSE[k % 5]}" for k, c in enumerate("bcdefghijklmnop")]
+    df = pages(spark, texts)
+    assert repeats.clusters(df).count() == 0
+    assert {r["id"]: r["kept_text"] for r in repeats.cleaned(df).collect()} == dict(enumerate(texts))
+    many = pages(spark, [f"{t}\n{rows[k % 6]}" for k, t in enumerate(texts[1:])])
+    got = repeats.clusters(many).collect()
+    assert len(got) == 6 and all(r["near"] > 1 and 2 * r["near"] <= r["cluster_pages"] <= 15 for r in got)
+
+
+def test_signatures_of_similar_lines():
+    rng = random.Random(4)
+    grams = lambda t: {t[k : k + 5] for k in range(len(t) - 4)}
+    met = pairs = 0
+    for _ in range(3000):
+        x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(95))
+        k = rng.randrange(5, 90)
+        y = x[:k] + "#" + x[k + 1 :] + "".join(rng.choice("abcdefgh") for _ in range(10))
+        if 0.79 <= len(grams(x) & grams(y)) / len(grams(x) | grams(y)) <= 0.85:
+            pairs += 1
+            p, q = repeats.signatures([x, y]).view(np.uint8).reshape(2, 4, 8)
+            met += any((p[i, 3 * h : 3 * h + 3] == q[i, 3 * h : 3 * h + 3]).all() for i in range(4) for h in range(2))
+    assert pairs > 500 and met / pairs >= 0.99
+
+
 def test_recurrent_gradients():
     rng = np.random.default_rng(0)
     for kind in ("lstm", "gru"):

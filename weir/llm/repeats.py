@@ -1,7 +1,8 @@
 """Problem 6: lines repeated across the pages of one host.
 
 Numbers, dates and names of each line are masked, the masked lines of a host are clustered by locality-sensitive
-hashing (minhash bands over character shingles), and clusters on many pages are kept; the exact count of the pages on
+hashing (minhash bands over character shingles) and compared with the middle of their cluster by all minhashes, and
+clusters on many pages are kept; the exact count of the pages on
 which one and the same line stands then decides. Counting is in two steps (distinct line and page, then lines), so that
 neither a host nor a line with a third of all rows meets in one task.
 
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.llm.common import code_points, mix64, pieces
@@ -26,8 +27,12 @@ from weir.session import cut, spread
 
 #: Pages of a host a line stands on at least, and their share of the host's pages.
 LEAST_PAGES, LEAST_SHARE = 5, 0.1
-#: Bands and rows of the minhash signature, and characters in a shingle.
-BANDS, ROWS, SHINGLE = 4, 4, 5
+#: Bands and rows a band, and characters in a shingle: two lines of similarity 0.8 share a band with probability 0.997.
+BANDS, ROWS, SHINGLE = 8, 3, 5
+#: Minhashes of a signature, a byte each, eight in one of its four numbers; the last two of each are in no band.
+MINHASHES = 32
+#: Minhashes a line has in common with the middle of its cluster at least.
+ALIKE = 19
 SIGNED = ["s0", "s1", "s2", "s3"]
 #: Parts into which the rows of one frequent line are spread when they are marked.
 SALTS = 16
@@ -50,10 +55,10 @@ def masked(line: str) -> str:
 
 
 def signatures(texts: list[str]) -> np.ndarray:
-    """BANDS hashes a text; equal texts have equal ones, similar texts share one with high probability."""
-    out = np.zeros((len(texts), BANDS), np.uint64)
+    """Four numbers a text, of eight minhashes each, cut to a byte."""
+    out = np.zeros((len(texts), len(SIGNED)), np.uint64)
     at = 0
-    seeds = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    seeds = mix64(np.arange(1, MINHASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for group in pieces(texts, 1_000_000):
         points, offsets = code_points([t + "\0" * max(0, SHINGLE - len(t)) for t in group])
         x = points.astype(np.uint64)
@@ -68,12 +73,9 @@ def signatures(texts: list[str]) -> np.ndarray:
             keep[at_end[at_end < len(hashed)]] = False
         hashed = hashed[keep]
         starts = offsets[:-1] - np.arange(len(group)) * (SHINGLE - 1)
-        for band in range(BANDS):
-            row = np.zeros(len(group), np.uint64)
-            for k in range(ROWS):
-                least = np.minimum.reduceat(mix64(hashed ^ seeds[band * ROWS + k]), starts)
-                row = mix64(row * np.uint64(31) + least)
-            out[at : at + len(group), band] = row
+        for k in range(MINHASHES):
+            least = mix64(np.minimum.reduceat(mix64(hashed ^ seeds[k]), starts)) & np.uint64(255)
+            out[at : at + len(group), k // 8] |= least << np.uint64(k % 8 * 8)
         at += len(group)
     return out
 
@@ -81,7 +83,7 @@ def signatures(texts: list[str]) -> np.ndarray:
 def line_batches(batches: Iterator[pa.RecordBatch], banded: bool) -> Iterator[pa.RecordBatch]:
     """Rows (id, host, page, line_no, a, b[, form, s0, s1, s2, s3]) of the non-blank lines; a and b are the 128-bit hash of the line's key.
 
-    form and s0 to s3, the hash of the masked line and its bands, may differ between lines of one key in letter case.
+    form and s0 to s3, the hash of the masked line and its signature, may differ between lines of one key in letter case.
     """
     for batch in batches:
         ids, hosts, urls, texts = (batch.column(k) for k in range(4))
@@ -104,8 +106,8 @@ def line_batches(batches: Iterator[pa.RecordBatch], banded: bool) -> Iterator[pa
             near, same = np.unique(np.array([masked(line) for line in shape], object), return_inverse=True)
             at = same[np.array(stored)]
             forms = np.array([xxhash.xxh3_64_intdigest(x) for x in near], np.uint64).view(np.int64)
-            bands = signatures(list(near)).view(np.int64)
-            columns += [pa.array(forms[at]), *(pa.array(bands[at, k]) for k in range(BANDS))]
+            signed = signatures(list(near)).view(np.int64)
+            columns += [pa.array(forms[at]), *(pa.array(signed[at, k]) for k in range(len(SIGNED)))]
             names += ["form", *SIGNED]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -116,15 +118,39 @@ def with_text(pages: DataFrame) -> DataFrame:
 
 
 def lines_of(pages: DataFrame, banded: bool = False) -> DataFrame:
-    """The non-blank lines, with the bands of their signatures if wanted."""
+    """The non-blank lines, with their signatures if wanted."""
     schema = "id long, host string, page long, line_no int, a long, b long" + ", form long, s0 long, s1 long, s2 long, s3 long" * banded
     return spread(with_text(pages)).mapInArrow(lambda batches: line_batches(batches, banded), schema)
 
 
-def counted(pages: DataFrame) -> DataFrame:
-    """(host, a, b, s0, s1, s2, s3, pages): on how many of a host's pages each line stands; one signature for all its letter cases."""
-    one = [*[F.max_by(c, "form").alias(c) for c in SIGNED], F.max("form").alias("form")]
-    return lines_of(pages, banded=True).groupBy("host", "a", "b", "page").agg(*one).groupBy("host", "a", "b").agg(*one[:-1], F.count("*").alias("pages"))
+def standing(pages: DataFrame) -> DataFrame:
+    """(host, a, b, page, form, s0, s1, s2, s3): each line once a page, whatever its letter case there."""
+    return lines_of(pages, banded=True).groupBy("host", "a", "b", "page").agg(*one_form())
+
+
+def one_form() -> list[Column]:
+    return [F.max("form").alias("form"), *[F.max_by(c, "form").alias(c) for c in SIGNED]]
+
+
+def counted(stand: DataFrame) -> DataFrame:
+    """(host, a, b, form, s0, s1, s2, s3, pages): on how many of a host's pages each line stands; one signature for all its letter cases."""
+    return stand.groupBy("host", "a", "b").agg(*one_form(), F.count("*").alias("pages"))
+
+
+def bands_of() -> Column:
+    """Two of ROWS bytes out of each number of a signature."""
+    return F.array(*[F.shiftrightunsigned(F.col(c), 8 * ROWS * k).bitwiseAND(F.lit((1 << 8 * ROWS) - 1)) for c in SIGNED for k in range(2)])
+
+
+def common(one: list[Column], other: list[Column]) -> Column:
+    """How many bytes two signatures have in common."""
+    parts = []
+    for x, y in zip(one, other, strict=True):
+        z = x.bitwiseXOR(y)
+        for step in (4, 2, 1):  # the lowest bit of each byte says whether any of its bits is set
+            z = z.bitwiseOR(F.shiftrightunsigned(z, step))
+        parts.append(8 - F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101))))
+    return sum(parts[1:], parts[0])
 
 
 def host_pages(pages: DataFrame) -> DataFrame:
@@ -135,21 +161,34 @@ def host_pages(pages: DataFrame) -> DataFrame:
 def clusters(pages: DataFrame) -> DataFrame:
     """(host, a, b, pages, all_pages, cluster, cluster_pages, near): each line with the largest widespread cluster it is in.
 
-    A cluster is the lines of a host that share a band; `cluster_pages` is the sum over its lines, so at least the number
-    of its pages, and `near` the number of its different lines.
+    A cluster is the lines of a host that share a band and are like its middle, the line on most pages; `cluster_pages` is
+    the number of different pages they stand on and `near` the number of different lines. A line is a cluster by itself too.
     """
-    each = cut(counted(pages))
-    banded = each.select("host", "a", "b", "pages", F.posexplode(F.array(*SIGNED)).alias("band", "cluster"))
-    sums = banded.groupBy("host", "band", "cluster").agg(F.sum("pages").alias("cluster_pages"), F.count("*").alias("near"))
-    kept = sums.filter(F.col("cluster_pages") >= LEAST_PAGES).join(host_pages(pages), "host").filter(F.col("cluster_pages") >= LEAST_SHARE * F.col("all_pages"))
-    best = F.struct("cluster_pages", "near", "band", "cluster")
-    joined = banded.join(kept, ["host", "band", "cluster"])
+    stand = cut(standing(pages))
+    each = cut(counted(stand).join(host_pages(pages), "host"))
+    enough = lambda n: (F.col(n) >= LEAST_PAGES) & (F.col(n) >= LEAST_SHARE * F.col("all_pages"))
+    key = ["host", "cluster"]
+    banded = each.select("host", "a", "b", "pages", "all_pages", *SIGNED, F.posexplode(bands_of()).alias("band", "value")).withColumn("cluster", F.xxhash64("band", "value")).drop("band", "value")
+    # the sum over the lines is at least the number of pages, so no widespread cluster is lost here
+    sums = banded.groupBy(*key).agg(F.sum("pages").alias("sum"), F.count("*").alias("lines"), F.max("all_pages").alias("all_pages")).filter((F.col("lines") > 1) & enough("sum")).select(*key)
+    members = cut(banded.join(sums, key))
+    middles = members.groupBy(*key).agg(F.max_by(F.struct(*SIGNED), F.struct("pages", "a", "b")).alias("m"))
+    alike = cut(members.join(middles, key).filter(common([F.col(c) for c in SIGNED], [F.col(f"m.{c}") for c in SIGNED]) >= ALIKE).select(*key, "a", "b", "pages", "all_pages"))
+    again = alike.groupBy(*key).agg(F.count("*").alias("near"), F.sum("pages").alias("sum"), F.max("all_pages").alias("all_pages")).filter((F.col("near") > 1) & enough("sum"))
+    wide = alike.join(again.select(*key), key, "left_semi")
+    spans = wide.select(*key, "a", "b").join(stand.select("host", "a", "b", "page"), ["host", "a", "b"]).select(*key, "page").distinct().groupBy(*key).agg(F.count("*").alias("cluster_pages"))
+    kept = again.select(*key, "near", "all_pages").join(spans, key).filter(enough("cluster_pages")).select(*key, "cluster_pages", "near")
+    several = wide.join(kept, key)
+    alone = each.filter(enough("pages")).select("host", F.xxhash64("a", "b").alias("cluster"), "a", "b", "pages", "all_pages", F.col("pages").alias("cluster_pages"), F.lit(1).cast("long").alias("near"))
+    best = F.struct("cluster_pages", "near", "cluster")
+    joined = several.unionByName(alone)
     return joined.groupBy("host", "a", "b").agg(F.max("pages").alias("pages"), F.max("all_pages").alias("all_pages"), F.max(best).alias("best")).select("host", "a", "b", "pages", "all_pages", "best.cluster", "best.cluster_pages", "best.near")
 
 
 def repeated_keys(pages: DataFrame) -> DataFrame:
-    """(host, a, b) of the lines that stand, the same, on enough pages: the exact check within the clusters."""
-    return clusters(pages).filter((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("all_pages"))).select("host", "a", "b")
+    """(host, a, b) of the lines that stand, the same, on enough pages. Each is a widespread cluster by itself, so all are counted, without signatures."""
+    each = lines_of(pages).select("host", "a", "b", "page").distinct().groupBy("host", "a", "b").agg(F.count("*").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
+    return each.join(host_pages(pages), "host").filter(F.col("pages") >= LEAST_SHARE * F.col("all_pages")).select("host", "a", "b")
 
 
 def marked(pages: DataFrame, keys: DataFrame) -> DataFrame:
