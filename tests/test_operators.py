@@ -127,3 +127,18 @@ def test_places_on_empty(spark):
     ring = spark.sql("SELECT 'A' AS code, array(named_struct('x', 0D, 'y', 0D), named_struct('x', 1D, 'y', 0D), named_struct('x', 0D, 'y', 1D)) AS ring")
     assert places.locate(none, ring).count() == 0
     assert places.locate(spark.createDataFrame([(1, 0.5, 0.5), (2, 0.6, 0.6), (3, None, 0.1)], none.schema), ring).collect()[0]["id"] == 1
+
+
+def test_pagerank_whole_takes_all_links_to_the_tolerance(spark, tmp_path):
+    from weir.plans.registry import QUERIES
+
+    n, rows = 9, [(1 + k % 8, 1 + (k * k + k // 5) % 40, 1 + k % 6) for k in range(30)]  # supplier 9 has no rows
+    spark.createDataFrame([(k, k % 3) for k in range(1, n + 1)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_linenumber int").selectExpr("*", "timestamp'2020-01-01' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    links = {(s, 1 + p % n) for s, p, _ in rows if s != 1 + p % n}
+    ranks = dict.fromkeys(range(1, n + 1), 1 / n)
+    for _ in range(300):
+        lost = sum(r for k, r in ranks.items() if not any(s == k for s, _ in links))
+        ranks = {k: (0.15 + 0.85 * lost) / n + 0.85 * sum(ranks[s] / sum(x == s for x, _ in links) for s, d in links if d == k) for k in ranks}
+    got = {r["node"]: r["rank"] for r in QUERIES["pagerank_whole"](spark, str(tmp_path)).collect()}
+    assert got.keys() == ranks.keys() and sum(abs(got[k] - ranks[k]) for k in ranks) < 1e-6

@@ -13,6 +13,8 @@ from weir.plans.registry import literal, query
 from weir.sources.tables import table
 
 TOKEN_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\x{0900}-\\x{097F}]+')"
+#: Rounds of PageRank at most, and the change (sum over all pages) below which they end.
+MOST_ROUNDS, TOLERANCE = 100, 1e-8
 TERMS = ["water", "board", "ward", "खानेपानी"]
 BM25_SQL = f"""tok AS (SELECT doc_id, {TOKEN_SQL} AS t FROM documents WHERE text IS NOT NULL),
     doc AS (SELECT doc_id, len(t) AS length, t FROM tok WHERE len(t) > 0), st AS (SELECT count(*) AS n, avg(length) AS mean FROM doc),
@@ -99,12 +101,15 @@ def newest(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("id").alias("page"), F.col("normalized_url").alias("url"), "host", "title")
 
 
-def pages_of(spark: SparkSession, root: str) -> DataFrame:
-    """Suppliers as pages that link to others; some name themselves with a slash at the end, some links do, some pages have no links."""
+def pages_of(spark: SparkSession, root: str, whole: bool = False) -> DataFrame:
+    """Suppliers as pages that link to others; some name themselves with a slash at the end, some links do, some pages have no links.
+
+    The SQL's graph has a part of the links; `whole` takes those of all rows.
+    """
     suppliers, items = table(spark, root, "supplier"), table(spark, root, "lineitem")
     n = suppliers.agg(F.count("*").alias("n")).scalar()
     link = F.concat(F.lit("https://"), 1 + F.col("l_partkey") % n, F.lit(".example"), F.when(F.col("l_partkey") % 3 == 0, "/").otherwise(""))
-    linking = (F.col("l_suppkey") % 7 > 0) & (F.col("l_linenumber") < 3)
+    linking = F.lit(True) if whole else (F.col("l_suppkey") % 7 > 0) & (F.col("l_linenumber") < 3)
     about = items.groupBy(F.col("l_suppkey").alias("page")).agg(F.count("*").alias("items"), F.max("l_shipdate").alias("latest"), F.collect_set(F.when(linking, link)).alias("links"))
     url = F.concat(F.lit("https://"), F.col("s_suppkey"), F.lit(".example"), F.when(F.col("s_suppkey") % 2 == 0, "/").otherwise(""))
     return suppliers.select(F.col("s_suppkey").alias("page"), url.alias("url"), F.col("s_nationkey").alias("host")).join(about, "page", "left")
@@ -139,6 +144,13 @@ def pagerank(spark: SparkSession, root: str) -> DataFrame:
     return rank.pagerank(pages.select(F.col("page").alias("node")), rank.edges(pages), 4).select("node", F.round("rank", 9).alias("rank"))
 
 
+@query()
+def pagerank_whole(spark: SparkSession, root: str) -> DataFrame:
+    """Ranks over the links of all rows, until a round changes them by less than the tolerance."""
+    pages = pages_of(spark, root, whole=True)
+    return rank.pagerank(pages.select(F.col("page").alias("node")), rank.edges(pages), MOST_ROUNDS, TOLERANCE)
+
+
 @query(f"""WITH {PAGES_SQL}, {unrolled(4)}, x AS (SELECT p.host, sum(rank) * any_value(n) AS v FROM pages p JOIN r4 USING (page), cnt WHERE p.host IS NOT NULL GROUP BY p.host)
     SELECT host, round(least(1.0, ln(1 + v) / ln(1 + (SELECT max(v) FROM x))), 6) AS authority FROM x""")
 def domain_authority(spark: SparkSession, root: str) -> DataFrame:
