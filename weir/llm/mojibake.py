@@ -3,7 +3,8 @@
 Adjacent pairs of characters are scored by their mutual information in the corpus (counted over all fields that hold no
 byte sequence of another encoding), improbable runs are isolated as maximum-scoring segments, and only inside those
 runs the inverse mappings of the usual single-byte encodings are tried, again and again for text that was decoded
-wrongly more than once.
+wrongly more than once. A mapping is accepted only if it makes the run likelier: the mean mutual information of its pairs
+must rise by `GAIN`, so that Cyrillic or Greek words whose letters happen to spell byte sequences stay as they are.
 
 Results: null and empty fields are never affected. Where bytes are gone (replacement characters, runs of question
 marks) the field is affected and `restored` is false; `repaired` then holds what could be had. Very long fields are
@@ -30,6 +31,8 @@ PAIR_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 14
 PAIR_FLOOR, CHAR_FLOOR = 1e-8, 1e-3
 #: Mutual information (bits) below which a pair adds to a run; above it, it takes from it. And the most a pair takes.
 LEVEL, MOST = -3.0, 4.0
+#: Bits a pair by which an inverse mapping must raise the mean mutual information of a run.
+GAIN = 1.0
 #: How often a text is taken to have been misread at most.
 ROUNDS = 4
 #: Question marks a field has at least where its letters were replaced by them.
@@ -103,6 +106,8 @@ def undo(run: str) -> tuple[str, str | None, int]:
     """The run with the sequences of the best encoding decoded; which encoding; how many characters it explains."""
     best: tuple[str, str | None, int] = (run, None, 0)
     codes = codes_of(run)
+    if not beside(codes, adjacent()[-1]):
+        return best
     beyond = int((codes > 127).sum())
     for table, to_bytes, (name, _, pattern) in zip(adjacent(), translations(), inverses(), strict=False):
         if not beside(codes, table):
@@ -142,12 +147,20 @@ def score_table(pairs: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.log2(pairs / total + PAIR_FLOOR).astype(np.float32), np.log2(chars / total + CHAR_FLOOR).astype(np.float32)
 
 
-def slots(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the adjacent pairs and of the characters; digits of any one script count as one."""
-    x = points.astype(np.uint64)
+@lru_cache(1)
+def spelled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each character, cut to 16 bits: its hash as the first and as the second of a pair, and its slot; digits of any one script count as one."""
+    x = np.arange(1 << 16, dtype=np.uint64)
     x = np.where((x >= 48) & (x <= 57), 48, np.where((x >= 0x966) & (x <= 0x96F), 0x966, x)).astype(np.uint64)
-    pair = (mix64(x[:-1] * np.uint64(0x110000) + x[1:]) & np.uint64(PAIR_SLOTS - 1)).astype(np.int64)
-    return pair, (mix64(x) & np.uint64(CHAR_SLOTS - 1)).astype(np.int64)
+    first, second = mix64(x), mix64(x + np.uint64(1 << 20))
+    return (first & np.uint64(PAIR_SLOTS - 1)).astype(np.int32), (second & np.uint64(PAIR_SLOTS - 1)).astype(np.int32), (mix64(x) >> np.uint64(40) & np.uint64(CHAR_SLOTS - 1)).astype(np.int32)
+
+
+def slots(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the adjacent pairs and of the characters."""
+    cut = (points ^ (points >> np.uint32(16)) * np.uint32(0x9E37)).astype(np.uint16)
+    first, second, single = spelled()
+    return first[cut[:-1]] ^ second[cut[1:]], single[cut]
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +206,11 @@ class Repairer:
     def __init__(self, pairs: np.ndarray, chars: np.ndarray):
         self.pairs, self.chars = score_table(pairs, chars)
 
+    def information(self, text: str) -> float:
+        """The mean mutual information of the pairs of a stretch of text."""
+        pair, char = slots(code_points([text])[0])
+        return float((self.pairs[pair] - self.chars[char[:-1]] - self.chars[char[1:]]).mean()) if len(pair) else 0.0
+
     def field(self, text: str, scores: np.ndarray) -> tuple[bool, bool, str, str | None]:
         """Of a field with its pairs' scores (the first is of the mark before it): affected, restored, repaired, encodings."""
         runs = []
@@ -210,13 +228,16 @@ class Repairer:
         marks = text.count("?") >= LOST_MARKS
         for low, high in runs:
             run = text[low:high]
+            before, after = text[max(low - 1, 0) : low] or "\n", text[high : high + 1] or "\n"
+            own, found = run, []
             for _ in range(ROUNDS):
-                run, name, _ = undo(run)
+                own, name, _ = undo(own)
                 if name is None:
                     break
-                affected = True
-                if name not in names:
-                    names.append(name)
+                found.append(name)
+            if found and self.information(before + own + after) >= self.information(before + run + after) + GAIN:
+                run, affected = own, True
+                names += [name for name in found if name not in names]
             if "�" in run or marks and re.search(r"(?:^|\s)\?\?", text[max(low - 1, 0) : high]):
                 affected = lost = True
             parts += [text[at:low], run]
