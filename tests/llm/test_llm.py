@@ -1,5 +1,6 @@
 """The operators of the optional subpackage: edge cases, brute force, round trips and held-out accuracy."""
 
+import os
 import random
 import unicodedata
 
@@ -46,6 +47,40 @@ def test_residue_with_many_copies(spark, copies):
     assert got == set(range(600, len(texts)))
 
 
+# Wordings that no seed was written for. The models were compared on them once, so they are a test of general wording, not of chance.
+UNSEEN = [
+    "This site is being rebuilt at present. We hope to be open again next week.", "Sorry! The document could not be located on our server.", "Bad Request - Invalid URL", "The server is overloaded at the moment, please retry in a little while.", "You do not have sufficient rights to open this page.",
+    "Your session is no longer valid. Kindly sign in once more.", "To use this portal, please activate JavaScript in the settings of your browser.", "Scripts are disabled. Enable scripts and load the page again.", "PHP Fatal error: Uncaught PDOException: could not find driver in /var/www/app/db.php:21",
+    "Traceback (most recent call last):\n  File \"/opt/app/wsgi.py\", line 9, in <module>\nImportError: No module named 'settings'", "This domain has been registered but has no website yet. It may be for sale.", "Etiam porta sem malesuada magna mollis euismod. Vestibulum id ligula porta felis euismod semper.",
+    "Write a short text about your organisation here.", "Hello {{ user }}! Your account has been created.", "Order ${order_id} was shipped to ${address}.", "Dear [Your Name],\nplease find the report attached.", "डाटाबेस उपलब्ध छैन। कृपया पछि प्रयास गर्नुहोस्।", "यो पृष्ठ अहिले मर्मतमा छ।",
+    "Der Server ist zurzeit nicht erreichbar. Bitte versuchen Sie es später noch einmal.", "सर्वर अभी उपलब्ध नहीं है, कृपया बाद में आएँ।",
+]
+TABLES = "/root/testdata/sf0.01"
+
+
+def seed_windows():
+    return {w for name in residue.MODELS for w in residue.seed_windows(name)}
+
+
+def test_residue_of_unseen_wording(spark):
+    assert not seed_windows() & {w for t in UNSEEN for w in residue.windows(t)}
+    got = {r["id"] for r in residue.excluded(pages(spark, prose(600) + UNSEEN)).collect()}
+    assert min(got) >= 600 and len(got) >= 0.8 * len(UNSEEN)
+
+
+@pytest.mark.skipif(not os.path.exists(TABLES), reason="no tables")
+def test_no_seed_stands_in_the_tables(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{TABLES}/crawled_documents.parquet").select("text").filter("text IS NOT NULL").collect()]
+    assert seed_windows() & {w for t in texts for w in residue.windows(t)} <= {residue.HOLE}
+
+
+def test_the_corpus_teaches_notices(spark):
+    taught = "Kiosk mode ended, ask the front desk for a token."
+    texts = ["\n".join(prose(1, seed=k)) for k in range(300)]
+    df = pages(spark, texts).unionByName(pages(spark, [taught] * 5, host="i.example").withColumn("id", F.col("id") + 1000)).unionByName(pages(spark, [taught + "\nBack"] * 5, host="j.example").withColumn("id", F.col("id") + 2000))
+    assert {r["id"] for r in residue.excluded(df).collect()} == {*range(1000, 1005), *range(2000, 2005)}
+
+
 def test_unify(spark):
     cases = {"café": "café", "Ｈｅａｌｔｈ": "Health", "thе соmmunіtу": "the community", "Добро": "Добро", "ofﬁce": "office", "गर्‍यो": "गर्‍यो", "👨‍👩‍👧 ❤️": "👨‍👩‍👧 ❤️", "a b​": "a b", "“It’s” – …": "“It’s” – …", "फ़": unicodedata.normalize("NFC", "फ़"), "": "", "﷐x": "x"}
     df = spark.createDataFrame([(k, "text", t) for k, t in enumerate([*cases, None])], "id long, field string, stored string")
@@ -66,6 +101,15 @@ def test_mojibake_round_trip(spark):
     assert [got[first + k]["affected"] for k in (10, 11, 12, 13)] == [True, True, False, False] and not got[first + 10]["restored"]
 
 
+def test_mojibake_rejects_what_information_does_not_gain(spark):
+    wished = "Приятного аппетита"  # its letters spell byte sequences of another encoding
+    assert mojibake.suspicious(wished) and mojibake.undo(wished)[1] is not None
+    broken = "वडा कार्यालयले सूचना प्रकाशन गर्यो".encode().decode("cp1251", "replace").replace("�", "")
+    df = spark.createDataFrame([(k, "text", t) for k, t in enumerate([*prose(80), wished, PROSE[0] + "\n" + wished, broken])], "id long, field string, stored string")
+    got = {r["id"]: (r["affected"], r["repaired"]) for r in mojibake.repaired(df).collect()}
+    assert got[80] == (False, wished) and not got[81][0] and got[82][0]
+
+
 def test_repeats_against_brute_force(spark):
     rng = random.Random(2)
     texts = []
