@@ -1,19 +1,23 @@
 """Problem 5: the main body of a page among menus, notices, side columns and page ends.
 
-Every line of a page is a block. A block is read as hashed words, a hashed outline (lengths of words and marks between
-them) and a path vector (the text has no tags: heading levels, the page's title, list marks, separators, place). A
-bidirectional LSTM in numpy reads the blocks of the whole page in order and labels each. It is trained, whenever the
-operator runs, on a bounded sample of pages whose lines are labelled by patterns (`labels`); lines the patterns don't
-know carry no loss, and some sampled pages are damaged on purpose so that lost letters don't mislead it.
+Every line of a page is a block. A block is read as the hashed words of the whole line and a path vector (the text has no
+tags: heading levels, the page's title, list marks, separators, place). A bidirectional LSTM in numpy reads the blocks of
+the whole page in order and labels each. It is trained, whenever the operator runs, on a bounded sample of pages, all lines
+of them, labelled by structure alone (`labels`): how many pages of its host a line stands on, the levels at which pages
+list it among their headings, the page's title and how lines follow each other. No wording is given. Lines that structure
+doesn't tell carry no loss; the network reads them by their words and surroundings. Some sampled pages are damaged on
+purpose so that lost letters don't mislead it.
 
 Results: null and blank texts have no blocks; blank lines get no label; pages of any length are read whole. The sample is
-about `TRAIN_PAGES` pages, those with the smallest hash of their id.
+about `TRAIN_HOSTS` hosts of at least `HOST_LEAST` pages, those with the smallest hash of their name, and about `HOST_PAGES`
+pages of each; if no host has so many pages, about as many pages of any host.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,82 +30,67 @@ from weir.llm.plain import plain
 from weir.llm.recurrent import Adam, Lstm, uniform
 from weir.session import spread
 
-#: Pages the model is trained on; passes over them; pages in a step; share of damaged copies.
-TRAIN_PAGES, PASSES, STEP_PAGES, DAMAGED = 1600, 6, 32, 0.3
+#: Hosts the model is trained on, pages a host has at least and pages taken of it, about; most pages if no host has so many.
+TRAIN_HOSTS, HOST_LEAST, HOST_PAGES, TRAIN_PAGES = 90, 12, 22, 2000
+#: Passes over the pages; stretches in a step; share of damaged copies.
+PASSES, STEP_PAGES, DAMAGED = 6, 32, 0.3
+#: Lines of a stretch of a page that is trained on at once; longer pages are several stretches.
+STRETCH = 120
 #: Slots of hashed words, width of a word's vector, of the path vector, of each direction's state.
-WORD_SLOTS, WORD_WIDTH, PATH_WIDTH, HIDDEN = 1 << 13, 24, 26, 24
-#: Lines of a page in one training step.
-TRAIN_LINES = 160
+WORD_SLOTS, WORD_WIDTH, PATH_WIDTH, HIDDEN = 1 << 13, 24, 24, 20
+#: Share of a host's pages from which a line is furniture of the host, and up to which it is a page's own.
+OFTEN, SELDOM = 0.3, 0.15
+#: Hosts from which on a line is no host's own.
+SPREAD = 3
 #: Probability from which a line counts as outside the body.
 LEVEL = 0.5
+#: Lines a task remembers the reading of.
+REMEMBERED = 100_000
 
-# Labels of menus.
-MENU = set(
-    "news downloads login admissions about_us budget opinion home gallery events tenders ward_profiles feedback branches loans contact contact_us publications results faq sitemap "
-    "notices treks sports careers services booking blog archive careers members staff help "
-    "सेवा हाम्रो_बारेमा समाचार गृहपृष्ठ निर्वाचन बजेट सूचना साइट_नक्सा भर्ना सम्पर्क प्रकाशन नतिजा कार्यक्रम ऋण विचार ग्यालरी शाखा खेलकुद सुझाव कर्मचारी वडा_विवरण बोलपत्र डाउनलोड लगइन बुकिङ पदयात्रा करिअर".replace("_", "\0").split()
-)
-MENU = {m.replace("\0", " ") for m in MENU}
-# Headings of side columns.
-SIDE = {
-    "trending", "related", "you may also like", "latest notices", "from the archive", "popular this week", "most read", "quick links", "recent posts", "see also", "more stories", "in other news", "recommended", "editor's picks",
-    "यो साता लोकप्रिय", "सम्बन्धित", "धेरै पढिएको", "ताजा सूचना", "महत्त्वपूर्ण लिङ्क", "छुटाउनुभयो कि", "सम्बन्धित समाचार", "थप समाचार", "ताजा समाचार",
-}
-# Subheadings of articles.
-SUBHEADS = {
-    "on the ground", "what you need", "next steps", "how to apply", "background", "costs and dates", "पृष्ठभूमि", "आवश्यक कागजात", "शुल्क र मिति", "निवेदन प्रक्रिया", "अबको बाटो", "ज़रूरी काग़ज़", "आगे क्या", "aawashyak kagajat", "prishthabhumi", "hintergrund", "anreise",
-}
-# What lines outside the body look like (lower case, digits of any script as 0).
-OUTSIDE = re.compile(
-    "^(?:" + "|".join((
-        r"skip to (?:main )?content", r"back to top", r"search", r"sign ?in\b.{0,20}", r"log ?in(?:  ?register)?", r"register", r"advertisement", r"sponsored", r"font size.*", r"language: .*", r"(?:subscribe|sign up) (?:to|for) our newsletter.*", r"send us your view.*", r"tell a friend.*", r"like us .*",
-        r"share(?: this)? (?:on|with|\|).*", r"share \| .*", r"0+ shares?", r"visitors so far.*", r"office hours.*", r"last updated.*", r"published(?: on)?:? 0.*", r"terms of use.*", r"registered under.*", r"reading time.*", r"photo: .*", r"posted by .*", r"by staff reporter.*", r".{0,40} desk \| 0.*", r"©.*", r"copyright .*", r"no part of this page.*",
-        r"your privacy matters.*", r"we use .*(?:cookies|files|tags|storage).*", r"this site (?:stores|uses).*", r"by staying here.*", r"javascript is off.*", r"some features of this page need javascript.*", r".*\| phone .*", r".* \| फोन .*",
-        r"मुख्य सामग्रीमा जानुहोस्", r"माथि जानुहोस्", r"खोज्नुहोस्", r"विज्ञापन", r"अक्षरको आकार.*", r"भाषा: .*", r"हाम्रो बुलेटिन.*", r"तल प्रतिक्रिया बाकसमा.*", r"साथीलाई पठाउनुहोस्", r"हाम्रो पेज लाइक.*", r"सेयर गर्नुहोस्.*", r"0+ पटक सेयर भयो", r"आगन्तुक सङ्ख्या.*", r"कार्यालय समय.*", r"पछिल्लो अद्यावधिक.*", r"प्रकाशित मिति.*",
-        r"प्रयोगका सर्त.*", r"सूचना विभाग दर्ता.*", r"पढ्न लाग्ने समय.*", r"तस्बिर: .*", r".{0,40}, संवाददाता", r".{0,40} समाचारदाता \| .*", r"यस साइटको कुनै पनि सामग्री.*", r"तपाईंको अनुभव राम्रो बनाउन.*", r"यो साइटले .*", r"साइन इन.*", r"लगइन.{0,16}",
-    )) + ")$"
-)
 SEPARATED = re.compile(r" ?[|»›•·] ?| :: | / | – | > |  +")
 SENTENCE = re.compile(r"[.।!…”\"’']\W*$")
 LIST = re.compile(r"^\s*(?:[-•*–]|0+[).]) ")
-WORD = re.compile(r"\w[\wऀ-ॣॱ-ॿ‍'’]*|[^\w\s]")
 SHAPE = re.compile(r"[\wऀ-ॿ‍?�]+|[^\w\s]")
 DIGITS = re.compile(r"\d+")
-
-
-MEMO: dict[str, int] = {}
+#: Words, and marks as words of their own.
+WORD = re.compile(r"[^\s.,;:!?|»›•·/–<>()\[\]\"“”‘’©।=+*#@%&…-]+|\S")
 
 
 def hashed(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) % (WORD_SLOTS - 1) + 1
 
 
-def slot(text: str) -> int:
-    """The slot of a word, remembered."""
-    if len(MEMO) > 400_000:
-        MEMO.clear()
-    found = MEMO[text] = hashed(text)
-    return found
+class Memory(dict):
+    """The slots of words, each hashed once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        found = self[word] = hashed(word)
+        return found
+
 
+SLOT = Memory()
 
-def outline(line: str) -> list[str]:
-    """How the line begins, with its letters replaced by their number: it outlives lost letters."""
-    shape = [str(min(len(w), 12)) if w[0].isalnum() or w[0] in "?�" else w for w in SHAPE.findall(line[:64])[:7]]
-    return ["#" + " ".join(shape), *("#" + a + " " + b for a, b in zip(shape[:4], shape[1:5], strict=False))]
 
+def features(line: str, low: str) -> tuple[list[int], list[float], bool]:
+    """Slots of all words of a line, of its first pair and last word; the part of the path vector it has by itself; whether it has separators.
 
-def features(line: str, low: str) -> tuple[list[int], list[float]]:
-    """Slots of a line's hashed words, pairs at its beginning and outline; and the part of the path vector it has by itself."""
+    Where letters are lost, the lengths of the words stand in for them.
+    """
     found = WORD.findall(low)
-    get = MEMO.get
-    words = [get(w) or slot(w) for w in found]
-    words += [get(w) or slot(w) for w in (*(a + " " + b for a, b in zip(found[:4], found[1:5], strict=False)), *outline(line))]
-    words.append(hashed("<" + low[:40] + ">"))
-    number, end = len(found), line[-12:]
-    parts = [p.strip() for p in SEPARATED.split(low)] if SEPARATED.search(low) else []
-    menu = low in MENU or len(parts) > 1 and all(p in MENU for p in parts if p)
-    shape = [min(number, 30) / 10, float(number <= 3), float(number >= 12), float(bool(SENTENCE.search(end))), float(end.endswith("?")), float(bool(LIST.match(low))), min(max(len(parts) - 1, 0), 6) / 3, float(line.isupper()), float("0" in low), float(menu), float(low in SIDE), float("�" in line or "??" in line)]
-    return words, shape
+    words = [SLOT[w] for w in found]
+    lost = "�" in line or "??" in line
+    if found:
+        words += [SLOT["^" + found[0]], SLOT["^" + " ".join(found[:2])], SLOT[found[-1] + "$"]]
+    if lost:
+        shape = [str(min(len(w), 12)) if w[0].isalnum() or w[0] in "?�" else w for w in SHAPE.findall(line)]
+        words += [SLOT["#" + a + " " + b] for a, b in zip(["", *shape], shape, strict=False)]
+    number = line.count(" ") + 1
+    parts = len(SEPARATED.findall(line)) if number > 1 or "|" in line else 0
+    end = line[-12:]
+    shape = [min(number, 30) / 10, float(number <= 3), float(number >= 12), float(SENTENCE.search(end) is not None), float(end.endswith("?")), float(LIST.match(low) is not None), min(parts, 6) / 3, float(line.isupper()), float("0" in low), float(lost)]
+    return words or [0], shape, parts > 0
 
 
 class Page:
@@ -111,8 +100,8 @@ class Page:
         raw = plain(text).split("\n")
         self.numbers = [k for k, line in enumerate(raw) if line and not line.isspace()]
         self.lines = [raw[k].strip() for k in self.numbers]
-        lowered = [line.lower() for line in self.lines]
-        self.low = [DIGITS.sub("0", line) for line in lowered]
+        self.lowered = [line.lower() for line in self.lines]
+        self.low = [DIGITS.sub("0", line) for line in self.lowered]
         self.title = plain(title).strip().lower() if title else ""
         self.heads: dict[str, int] = {}
         self.first = ""
@@ -121,64 +110,101 @@ class Page:
                 name = plain(h["text"]).strip().lower()
                 self.heads.setdefault(name, int(h["level"] or 1))
                 self.first = self.first or (name if (h["level"] or 1) == 1 else "")
-        crumbs = [SEPARATED.split(line) for line in lowered if len(line) < 200 and SEPARATED.search(line)]
-        self.tails = tuple({c[-1].strip() for c in crumbs if len(c) > 1 and len(c[-1].strip()) >= 8})
-        self.is_title = [self.titled(line) for line in lowered]
-        self.words: list[list[int]] = []
-        paths, seen, count, before = [], 0, len(self.lines), -1
-        for k, low in enumerate(self.low):
-            known = memo.get(low)
-            if known is None:
-                if len(memo) > 100_000:
+        known = []
+        for line, low in zip(self.lines, self.low, strict=True):
+            found = memo.get(low)
+            if found is None:
+                if len(memo) > REMEMBERED:
                     memo.clear()
-                known = memo[low] = features(self.lines[k], low)
-            self.words.append(known[0])
-            level, number = self.heads.get(lowered[k], 0), self.numbers[k]
-            seen = max(seen, self.is_title[k])
-            paths.append([*known[1], level == 1, level == 2, level > 2, self.is_title[k], seen, k > 0 and number - before > 1, k / max(1, count - 1), k == 0, k == count - 1, bool(self.title or self.first), lowered[k].startswith(self.tails), min(count, 60) / 30, 1.0, bool(self.heads)])
+                found = memo[low] = features(line, low)
+            known.append(found)
+        self.words = [k[0] for k in known]
+        crumbs = {SEPARATED.split(line)[-1].strip() for line, k in zip(self.lowered, known, strict=True) if k[2] and len(line) < 200}
+        self.tails = tuple(c for c in crumbs if len(c) >= 8)
+        self.is_title = [self.titled(line) for line in self.lowered]
+        self.is_crumb = [k[2] and not title and self.crumb(line) for line, k, title in zip(self.lowered, known, self.is_title, strict=True)]
+        paths, seen, count, before, heads = [], 0, len(self.lines), -1, self.heads
+        named, size, last = bool(self.title or self.first), min(count, 60) / 30, max(1, count - 1)
+        for k, number in enumerate(self.numbers):
+            level, title = heads.get(self.lowered[k], 0), self.is_title[k]
+            seen = seen or title
+            paths.append((*known[k][1], level == 1, level == 2, level > 2, title, seen, k > 0 and number - before > 1, k / last, k == 0, k == count - 1, named, self.is_crumb[k], size, 1.0, bool(heads)))
             before = number
         self.paths = np.array(paths, np.float32).reshape(count, PATH_WIDTH)
 
     def titled(self, low: str) -> int:
         """Whether a line is the page's own title: as the title or first heading has it, or as a breadcrumb begins it."""
+        if low == self.first or low == self.title:
+            return 1
         if len(low) < 6:
-            return int(low == self.first or low == self.title)
-        if low == self.first or low == self.title or self.title and low in self.title and len(low) > 0.4 * len(self.title):
+            return 0
+        if self.title and low in self.title and len(low) > 0.4 * len(self.title):
             return 1
-        return int(any(len(low) > len(t) and low.startswith(t) for t in self.tails))
+        return int(low.startswith(self.tails) and low not in self.tails)
+
+    def crumb(self, low: str) -> bool:
+        """Whether a line ends, after a separator, with the page's title or its beginning."""
+        tail = SEPARATED.split(low)[-1].strip()
+        return len(tail) >= 8 and (self.first.startswith(tail) or tail in self.title)
+
 
+class Host:
+    """What the sampled pages of one host, and the headings of all, say about lines."""
 
-def only_menu(low: str) -> bool:
-    """Whether a line is three or more menu labels and nothing else."""
-    words, at, number = low.split(), 0, 0
-    while at < len(words):
-        step = next((n for n in (3, 2, 1) if " ".join(words[at : at + n]) in MENU), 0)
-        if not step:
-            return False
-        at, number = at + step, number + 1
-    return number >= 3
+    def __init__(self, pages: list[Page]):
+        self.size = len(pages)
+        self.on = Counter(low for p in pages for low in set(p.low))
 
+    def share(self, low: str) -> float | None:
+        """On what share of the host's pages a line stands; null if too few are known."""
+        return self.on[low] / self.size if self.size >= HOST_LEAST // 2 else None
 
-def labels(page: Page) -> np.ndarray:
-    """1 outside the body, 0 body, -1 not known: what the patterns say of a page's lines."""
-    out = np.full(len(page.lines), -1, np.int8)
-    side = False
+
+def heading_levels(pages: list[Page]) -> dict[str, int]:
+    """Of each line that pages list among their headings, the level at which most do: 2 for parts of the body, 3 for what is below."""
+    votes: dict[str, Counter] = defaultdict(Counter)
+    for p in pages:
+        for name, level in p.heads.items():
+            if level > 1:
+                votes[DIGITS.sub("0", name)][min(level, 3)] += 1
+    return {name: max(count, key=lambda x: (count[x], x)) for name, count in votes.items()}
+
+
+def labels(page: Page, host: Host, levels: dict[str, int], common: dict[str, int]) -> np.ndarray:
+    """1 outside the body, 0 body, -1 not known: what structure says of a page's lines.
+
+    `levels` are the usual levels of headings, `common` on how many hosts a line stands.
+    """
+    count = len(page.lines)
+    out = np.full(count, -1, np.int8)
+    sentence = [SENTENCE.search(line[-12:]) is not None and line.count(" ") >= 3 for line in page.lines]
+    share = [host.share(low) for low in page.low]
+    own = [s is None or s <= SELDOM for s in share]
+    last_own = max((k for k in range(count) if sentence[k] and own[k]), default=-1)
+    mode, titled = "", False
     for k, low in enumerate(page.low):
-        parts = [p.strip() for p in SEPARATED.split(low) if p.strip()]
-        if page.is_title[k] and not SEPARATED.search(page.lines[k].replace(" – ", " ")):
-            out[k], side = 0, False
-        elif OUTSIDE.match(low) or low in MENU or only_menu(low) or parts and parts[0] in MENU and (len(parts) > 2 or all(p in MENU for p in parts)) or len(parts) > 1 and sum(p in MENU for p in parts) >= len(parts) - 1:
-            out[k], side = 1, False
-        elif low in SIDE:
-            out[k], side = 1, True
-        elif low in SUBHEADS or SENTENCE.search(page.lines[k]) and len(low.split()) > 3 or LIST.match(low):
-            out[k], side = 0, False
-        elif side:
+        level = page.heads.get(page.lowered[k]) or levels.get(low, 0)
+        if page.is_title[k]:
+            out[k], mode, titled = 0, "title", True
+        elif level == 2:
+            out[k], mode = 0, "body"
+        elif level > 2:
+            out[k], mode = 1, "side"
+        elif page.is_crumb[k]:
+            out[k], mode = 1, ""
+        elif share[k] is not None and share[k] >= OFTEN:
+            opening = sentence[k] and mode == "title" and k < last_own  # the first sentence below the title, before the page's own
+            out[k] = 0 if opening else 1
+            mode = "body" if opening else mode if mode in ("title", "body") and titled else ""
+        elif sentence[k] and own[k]:
+            out[k] = 0 if mode == "title" or common.get(low, 0) < SPREAD else -1  # what many hosts say somewhere may be a notice
+            mode = "body"
+        elif LIST.match(low) and own[k]:
+            out[k] = 0 if mode in ("body", "title") else -1
+        elif mode == "side" and own[k]:
             out[k] = 1
-        elif "�" in low or "??" in low:
-            continue
-        else:
-            out[k] = 0 if any(page.is_title[: k + 1]) or len(low.split()) > 3 else -1
+        elif mode == "body" and own[k] and common.get(low, 0) >= SPREAD and k > 0 and out[k - 1] == 0:
+            out[k] = 0
     return out
 
 
@@ -203,24 +229,24 @@ class Labeller:
         self.ahead, self.back = Lstm("a", width, HIDDEN, rng, p), Lstm("r", width, HIDDEN, rng, p)
         p["V"], p["c"] = uniform(rng, 2 * HIDDEN + width, 1), np.zeros(1, np.float32)
 
-    def inputs(self, pages: list[Page], most: int | None = None) -> tuple:
-        sizes = [len(p.lines) if most is None else min(len(p.lines), most) for p in pages]
+    def inputs(self, rows: list[tuple[list[list[int]], np.ndarray]]) -> tuple:
+        """Of sequences of lines (words, paths): the input, its mask, and what leads back from a line's vector to its words."""
+        sizes = [len(words) for words, _ in rows]
         n = max(sizes)
-        x, mask = np.zeros((n, len(pages), WORD_WIDTH + PATH_WIDTH), np.float32), np.zeros((n, len(pages)), np.float32)
-        words = [w for p, size in zip(pages, sizes, strict=True) for w in p.words[:size]]
-        flat = np.fromiter((s for w in words for s in w), np.int32)
-        counts = np.array([len(w) for w in words])
-        owner = np.repeat(np.arange(len(words)), counts)
+        x, mask = np.zeros((n, len(rows), WORD_WIDTH + PATH_WIDTH), np.float32), np.zeros((n, len(rows)), np.float32)
+        words = [w for part, _ in rows for w in part]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.fromiter((s for w in words for s in w), np.int32, int(counts.sum()))
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         weight = (1 / np.sqrt(counts)).astype(np.float32)
         vectors = np.add.reduceat(self.params["E"][flat], starts) * weight[:, None]
         at = 0
         for k, size in enumerate(sizes):
             x[:size, k, :WORD_WIDTH] = vectors[at : at + size]
-            x[:size, k, WORD_WIDTH:] = pages[k].paths[:size]
+            x[:size, k, WORD_WIDTH:] = rows[k][1]
             mask[:size, k] = 1
             at += size
-        return x, mask, sizes, flat, owner, weight
+        return x, mask, sizes, flat, counts, weight
 
     def run(self, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple:
         p = self.params
@@ -233,17 +259,21 @@ class Labeller:
     def train(self, pages: list[Page], truth: list[np.ndarray], seed: int = 11) -> None:
         rng, adam = np.random.default_rng(seed), Adam(0.01)
         p = self.params
-        by_length = sorted(range(len(pages)), key=lambda k: len(pages[k].lines))
-        steps = [by_length[k : k + STEP_PAGES] for k in range(0, len(pages), STEP_PAGES)]
+        rows, known = [], []
+        for page, y in zip(pages, truth, strict=True):
+            for k in range(0, len(y), STRETCH):
+                rows.append((page.words[k : k + STRETCH], page.paths[k : k + STRETCH]))
+                known.append(y[k : k + STRETCH])
+        by_length = sorted(range(len(rows)), key=lambda k: len(known[k]))
+        steps = [by_length[k : k + STEP_PAGES] for k in range(0, len(rows), STEP_PAGES)]
         for turn in range(PASSES):
             adam.rate = 0.01 * (1 - turn / PASSES) + 0.001
             for k in rng.permutation(len(steps)):
-                chosen = [pages[i] for i in steps[k]]
-                x, mask, sizes, flat, owner, weight = self.inputs(chosen, TRAIN_LINES)
+                x, mask, sizes, flat, counts, weight = self.inputs([rows[i] for i in steps[k]])
                 prob, joint, tape_a, tape_r = self.run(x, mask, True)
                 d = np.zeros_like(prob)
                 for j, i in enumerate(steps[k]):
-                    y = truth[i][: sizes[j]]
+                    y = known[i]
                     d[: sizes[j], j] = np.where(y < 0, 0, prob[: sizes[j], j] - y)
                 d /= max(1.0, float((d != 0).sum()))
                 grads = {"V": joint.reshape(-1, joint.shape[2]).T @ d.reshape(-1, 1), "c": np.array([d.sum()], np.float32)}
@@ -253,7 +283,7 @@ class Labeller:
                 dx += self.back.backward(p, x[::-1], tape_r, djoint[::-1, :, HIDDEN : 2 * HIDDEN], grads)[::-1]
                 dlines = np.concatenate([dx[:size, j, :WORD_WIDTH] for j, size in enumerate(sizes)]) * weight[:, None]
                 table = np.zeros_like(p["E"])
-                np.add.at(table, flat, dlines[owner])
+                np.add.at(table, flat, np.repeat(dlines, counts, axis=0))
                 grads["E"] = table
                 adam.step(p, grads)
 
@@ -265,7 +295,7 @@ class Labeller:
         while at < len(order):
             size = max(1, min(256, 40_000 // len(pages[order[at]].lines)))
             chosen = order[at : at + size]
-            x, mask, sizes, *_ = self.inputs([pages[k] for k in chosen])
+            x, mask, sizes, *_ = self.inputs([(pages[k].words, pages[k].paths) for k in chosen])
             prob = self.run(x, mask, False)[0]
             for j, k in enumerate(chosen):
                 out[k] = prob[: sizes[j], j]
@@ -273,33 +303,51 @@ class Labeller:
         return out
 
 
-def trained(pages: DataFrame) -> Labeller:
-    """A labeller trained on the sample."""
-    rng = np.random.default_rng(5)
-    sample = sorted(sampled(pages, "id", TRAIN_PAGES, pages.count()).filter("text IS NOT NULL AND trim(text) <> ''").collect(), key=lambda r: r["id"])
+def fitted(rows: list[dict], seed: int = 5) -> Labeller:
+    """A labeller trained on these pages (host, title, text, headings), labelled by their structure."""
+    rng = np.random.default_rng(seed)
     memo: dict = {}
-    rows, truth = [], []
-    for r in sample:
-        page = Page(r["text"], r["title"], r["headings"], memo)
+    pages = [Page(r["text"], r["title"], r["headings"], memo) for r in rows]
+    by_host: dict[str | None, list[Page]] = defaultdict(list)
+    for r, page in zip(rows, pages, strict=True):
+        by_host[r["host"]].append(page)
+    hosts = {name: Host(own) for name, own in by_host.items()}
+    levels, common = heading_levels(pages), Counter(low for host in hosts.values() for low in host.on)
+    kept, truth = [], []
+    for r, page in zip(rows, pages, strict=True):
         if not page.lines:
             continue
-        known = labels(page)
+        known = labels(page, hosts[r["host"]], levels, common)
         if rng.random() < DAMAGED:
             page = Page(damaged(r["text"], rng), r["title"] if rng.random() < 0.5 else None, r["headings"] if rng.random() < 0.5 else None, memo)
             if len(page.lines) != len(known):
                 continue
-        rows.append(page)
+        kept.append(page)
         truth.append(known)
     labeller = Labeller()
-    if rows:
-        labeller.train(rows, truth)
+    if kept:
+        labeller.train(kept, truth)
     return labeller
 
 
+def sample_of(pages: DataFrame) -> list[dict]:
+    """The pages the labeller is trained on: a bounded number, whole, of a bounded number of hosts."""
+    full = pages.filter("text IS NOT NULL AND trim(text) <> ''").select("id", "host", "title", "text", "headings")
+    sizes = full.filter("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= HOST_LEAST)
+    number = sizes.count()
+    if not number:
+        found = sampled(full, "id", TRAIN_PAGES, full.count())
+    else:
+        few = sampled(sizes, "host", TRAIN_HOSTS, number)
+        share = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 30)) < (F.lit(HOST_PAGES) / F.col("n") * (1 << 30))
+        found = full.join(F.broadcast(few), "host").filter(share).drop("n")  # at most about TRAIN_HOSTS names
+    return sorted((r.asDict(True) for r in found.collect()), key=lambda r: r["id"])
+
+
 def labelled(pages: DataFrame) -> DataFrame:
     """(id, line_no, outside) of every non-blank line: the probability that it isn't part of the body."""
     wanted = pages.select("id", "title", "text", "headings")
-    shared = pages.sparkSession.sparkContext.broadcast(trained(wanted))
+    shared = pages.sparkSession.sparkContext.broadcast(fitted(sample_of(pages)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller, memo = shared.value, {}
