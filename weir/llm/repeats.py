@@ -3,8 +3,9 @@
 Numbers, dates and names of each line are masked, the masked lines of a host are clustered by locality-sensitive
 hashing (minhash bands over character shingles) and compared with the middle of their cluster by all minhashes, and
 clusters on many pages are kept; the exact count of the pages on
-which one and the same line stands then decides. Counting is in two steps (distinct line and page, then lines), so that
-neither a host nor a line with a third of all rows meets in one task.
+which one and the same line stands then decides for `found`. Counting is in two steps (distinct line and page, then lines), so
+that neither a host nor a line with a third of all rows meets in one task. Signatures travel once a line of a host, not with
+its occurrences, and only to lines that can matter: `found` asks for lines on enough pages, so only those are banded.
 
 Results: pages with a null host or a null or blank text have no repeated lines and keep their text; blank lines never
 count. A line on exactly the least number of pages, or exactly the least share, counts as repeated. Lines of any length
@@ -55,10 +56,13 @@ def masked(line: str) -> str:
 
 
 def signatures(texts: list[str]) -> np.ndarray:
-    """Four numbers a text, of eight minhashes each, cut to a byte."""
+    """Four numbers a text, of eight minhashes each, cut to a byte.
+
+    One permutation: each shingle falls into one of the `MINHASHES` bins, the least of a bin is its minhash; an empty bin takes
+    that of the next one that isn't.
+    """
     out = np.zeros((len(texts), len(SIGNED)), np.uint64)
     at = 0
-    seeds = mix64(np.arange(1, MINHASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for group in pieces(texts, 1_000_000):
         points, offsets = code_points([t + "\0" * max(0, SHINGLE - len(t)) for t in group])
         x = points.astype(np.uint64)
@@ -66,50 +70,57 @@ def signatures(texts: list[str]) -> np.ndarray:
         for k in range(SHINGLE):
             hashed = hashed * np.uint64(0x100000001B3) ^ x[k : k + len(hashed)]
         hashed = mix64(hashed)
-        last = offsets[1:] - SHINGLE  # the last shingle that lies within its text
-        keep = np.ones(len(hashed), bool)
-        for k in range(1, SHINGLE):
-            at_end = last + k
-            keep[at_end[at_end < len(hashed)]] = False
-        hashed = hashed[keep]
-        starts = offsets[:-1] - np.arange(len(group)) * (SHINGLE - 1)
+        owner = np.repeat(np.arange(len(group)), np.diff(np.append(offsets[:-1], len(x))))[: len(hashed)]
+        inside = np.arange(len(hashed)) <= (np.append(offsets[1:-1], len(x)) - SHINGLE)[owner]  # shingles that lie within their text
+        hashed, owner = hashed[inside], owner[inside]
+        least = np.full(len(group) * MINHASHES, np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(least, owner * MINHASHES + (hashed & np.uint64(MINHASHES - 1)).astype(np.int64), hashed >> np.uint64(5))
+        least = least.reshape(-1, MINHASHES)
+        empty = least == np.iinfo(np.uint64).max
+        step = 1
+        while empty.any():
+            taken = np.roll(least, -step, 1)
+            least = np.where(empty, taken, least)
+            empty = least == np.iinfo(np.uint64).max
+            step = min(2 * step, MINHASHES // 2)
+        short = mix64(least + np.arange(MINHASHES, dtype=np.uint64)) & np.uint64(255)
         for k in range(MINHASHES):
-            least = mix64(np.minimum.reduceat(mix64(hashed ^ seeds[k]), starts)) & np.uint64(255)
-            out[at : at + len(group), k // 8] |= least << np.uint64(k % 8 * 8)
+            out[at : at + len(group), k // 8] |= short[:, k] << np.uint64(k % 8 * 8)
         at += len(group)
     return out
 
 
-def line_batches(batches: Iterator[pa.RecordBatch], banded: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (id, host, page, line_no, a, b[, form, s0, s1, s2, s3]) of the non-blank lines; a and b are the 128-bit hash of the line's key.
-
-    form and s0 to s3, the hash of the masked line and its signature, may differ between lines of one key in letter case.
-    """
+def line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, host, page, line_no, a, b) of the non-blank lines; a and b are the 128-bit hash of the line's key."""
     for batch in batches:
         ids, hosts, urls, texts = (batch.column(k) for k in range(4))
-        origin, numbers, code, of, stored, shape = [], [], [], {}, [], {}
+        origin, numbers, code, of = [], [], [], {}
         for row, text in enumerate(texts.to_pylist()):
             for number, line in enumerate(text.split("\n")):
                 if (key := line_key(line)) != "":
                     origin.append(row)
                     numbers.append(number)
                     code.append(of.setdefault(key, len(of)))
-                    if banded:
-                        stored.append(shape.setdefault(line, len(shape)))
-        if not origin:
-            continue
-        keys, codes, rows = list(of), np.array(code), pa.array(origin, pa.int32())
-        hashed = np.frombuffer(b"".join(xxhash.xxh3_128_digest(k) for k in keys), np.int64).reshape(-1, 2)[codes]
-        columns = [ids.take(rows), hosts.take(rows), urls.take(rows), pa.array(numbers, pa.int32()), pa.array(hashed[:, 0]), pa.array(hashed[:, 1])]
-        names = ["id", "host", "page", "line_no", "a", "b"]
-        if banded:
-            near, same = np.unique(np.array([masked(line) for line in shape], object), return_inverse=True)
-            at = same[np.array(stored)]
-            forms = np.array([xxhash.xxh3_64_intdigest(x) for x in near], np.uint64).view(np.int64)
-            signed = signatures(list(near)).view(np.int64)
-            columns += [pa.array(forms[at]), *(pa.array(signed[at, k]) for k in range(len(SIGNED)))]
-            names += ["form", *SIGNED]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+        if origin:
+            rows = pa.array(origin, pa.int32())
+            hashed = np.frombuffer(b"".join(xxhash.xxh3_128_digest(k) for k in of), np.int64).reshape(-1, 2)[np.array(code)]
+            yield pa.RecordBatch.from_arrays([ids.take(rows), hosts.take(rows), urls.take(rows), pa.array(numbers, pa.int32()), pa.array(hashed[:, 0]), pa.array(hashed[:, 1])], names=["id", "host", "page", "line_no", "a", "b"])
+
+
+def form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, a, b, form, s0, s1, s2, s3) of the lines, once a host and spelling in a batch: the hash of the masked line and its signature."""
+    for batch in batches:
+        stored: dict[tuple[str, str], None] = {}
+        for host, text in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            stored.update(dict.fromkeys((host, line) for line in text.split("\n") if line and not line.isspace()))
+        rows = [(host, line, key) for host, line in stored if (key := line_key(line)) != ""]
+        if rows:
+            forms: dict[str, int] = {}
+            of = np.array([forms.setdefault(masked(line), len(forms)) for _, line, _ in rows])
+            hashed = np.frombuffer(b"".join(xxhash.xxh3_128_digest(key) for _, _, key in rows), np.int64).reshape(-1, 2)
+            form = np.array([xxhash.xxh3_64_intdigest(f) for f in forms], np.uint64).view(np.int64)[of]
+            signed = signatures(list(forms)).view(np.int64)[of]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in rows], pa.string()), pa.array(hashed[:, 0]), pa.array(hashed[:, 1]), pa.array(form), *(pa.array(signed[:, k]) for k in range(len(SIGNED)))], names=["host", "a", "b", "form", *SIGNED])
 
 
 def with_text(pages: DataFrame) -> DataFrame:
@@ -117,24 +128,21 @@ def with_text(pages: DataFrame) -> DataFrame:
     return pages.filter("host IS NOT NULL AND text IS NOT NULL").select("id", "host", F.xxhash64("normalized_url").alias("page"), "text")
 
 
-def lines_of(pages: DataFrame, banded: bool = False) -> DataFrame:
-    """The non-blank lines, with their signatures if wanted."""
-    schema = "id long, host string, page long, line_no int, a long, b long" + ", form long, s0 long, s1 long, s2 long, s3 long" * banded
-    return spread(with_text(pages)).mapInArrow(lambda batches: line_batches(batches, banded), schema)
+def lines_of(pages: DataFrame) -> DataFrame:
+    """The non-blank lines."""
+    return spread(with_text(pages)).mapInArrow(line_batches, "id long, host string, page long, line_no int, a long, b long")
 
 
 def standing(pages: DataFrame) -> DataFrame:
-    """(host, a, b, page, form, s0, s1, s2, s3): each line once a page, whatever its letter case there."""
-    return lines_of(pages, banded=True).groupBy("host", "a", "b", "page").agg(*one_form())
-
-
-def one_form() -> list[Column]:
-    return [F.max("form").alias("form"), *[F.max_by(c, "form").alias(c) for c in SIGNED]]
+    """(host, a, b, page): each line once a page."""
+    return lines_of(pages).select("host", "a", "b", "page").distinct()
 
 
-def counted(stand: DataFrame) -> DataFrame:
-    """(host, a, b, form, s0, s1, s2, s3, pages): on how many of a host's pages each line stands; one signature for all its letter cases."""
-    return stand.groupBy("host", "a", "b").agg(*one_form(), F.count("*").alias("pages"))
+def signed(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines with the signature of one of their spellings, whichever is last by its form."""
+    forms = spread(with_text(pages)).mapInArrow(form_batches, "host string, a long, b long, form long, s0 long, s1 long, s2 long, s3 long")
+    one = forms.join(lines.select("host", "a", "b"), ["host", "a", "b"], "left_semi").groupBy("host", "a", "b").agg(F.max(F.struct("form", *SIGNED)).alias("one"))
+    return lines.join(one, ["host", "a", "b"]).select(*lines.columns, *[f"one.{c}" for c in SIGNED])
 
 
 def bands_of() -> Column:
@@ -158,14 +166,16 @@ def host_pages(pages: DataFrame) -> DataFrame:
     return with_text(pages).filter(F.col("text").rlike(r"(?U)\S")).select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all_pages"))
 
 
-def clusters(pages: DataFrame) -> DataFrame:
+def clusters(pages: DataFrame, least: int = 1) -> DataFrame:
     """(host, a, b, pages, all_pages, cluster, cluster_pages, near): each line with the largest widespread cluster it is in.
 
     A cluster is the lines of a host that share a band and are like its middle, the line on most pages; `cluster_pages` is
     the number of different pages they stand on and `near` the number of different lines. A line is a cluster by itself too.
+    Only lines on at least `least` pages are clustered.
     """
     stand = cut(standing(pages))
-    each = cut(counted(stand).join(host_pages(pages), "host"))
+    counted = stand.groupBy("host", "a", "b").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least)
+    each = cut(signed(pages, cut(counted.join(host_pages(pages), "host"))))
     enough = lambda n: (F.col(n) >= LEAST_PAGES) & (F.col(n) >= LEAST_SHARE * F.col("all_pages"))
     key = ["host", "cluster"]
     banded = each.select("host", "a", "b", "pages", "all_pages", *SIGNED, F.posexplode(bands_of()).alias("band", "value")).withColumn("cluster", F.xxhash64("band", "value")).drop("band", "value")
@@ -176,7 +186,7 @@ def clusters(pages: DataFrame) -> DataFrame:
     alike = cut(members.join(middles, key).filter(common([F.col(c) for c in SIGNED], [F.col(f"m.{c}") for c in SIGNED]) >= ALIKE).select(*key, "a", "b", "pages", "all_pages"))
     again = alike.groupBy(*key).agg(F.count("*").alias("near"), F.sum("pages").alias("sum"), F.max("all_pages").alias("all_pages")).filter((F.col("near") > 1) & enough("sum"))
     wide = alike.join(again.select(*key), key, "left_semi")
-    spans = wide.select(*key, "a", "b").join(stand.select("host", "a", "b", "page"), ["host", "a", "b"]).select(*key, "page").distinct().groupBy(*key).agg(F.count("*").alias("cluster_pages"))
+    spans = wide.select(*key, "a", "b").join(stand, ["host", "a", "b"]).select(*key, "page").distinct().groupBy(*key).agg(F.count("*").alias("cluster_pages"))
     kept = again.select(*key, "near", "all_pages").join(spans, key).filter(enough("cluster_pages")).select(*key, "cluster_pages", "near")
     several = wide.join(kept, key)
     alone = each.filter(enough("pages")).select("host", F.xxhash64("a", "b").alias("cluster"), "a", "b", "pages", "all_pages", F.col("pages").alias("cluster_pages"), F.lit(1).cast("long").alias("near"))
@@ -186,9 +196,9 @@ def clusters(pages: DataFrame) -> DataFrame:
 
 
 def repeated_keys(pages: DataFrame) -> DataFrame:
-    """(host, a, b) of the lines that stand, the same, on enough pages. Each is a widespread cluster by itself, so all are counted, without signatures."""
-    each = lines_of(pages).select("host", "a", "b", "page").distinct().groupBy("host", "a", "b").agg(F.count("*").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
-    return each.join(host_pages(pages), "host").filter(F.col("pages") >= LEAST_SHARE * F.col("all_pages")).select("host", "a", "b")
+    """(host, a, b) of the lines of widespread clusters that stand, the same, on enough pages by themselves."""
+    found = clusters(pages, LEAST_PAGES)
+    return found.filter((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("all_pages"))).select("host", "a", "b")
 
 
 def marked(pages: DataFrame, keys: DataFrame) -> DataFrame:
