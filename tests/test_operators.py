@@ -59,6 +59,58 @@ def test_near_pairs_lose_none(spark):
     assert classes[100] == classes[101] == classes[0] and len(classes) == len(values) + 2
 
 
+def test_folding_is_that_of_rows_in_order(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    made = []
+    for k in range(160):
+        h = rng.choice(base)
+        for _ in range(rng.randrange(4)):
+            h ^= 1 << rng.choice([1, 5, 9, 14, 33, 40])
+        made.append((k, h - (1 << 64) if h >> 63 else h, f"t{h % 1000}{rng.randrange(2)}"))
+    made += [(200, 0, "e"), (201, 0, "e"), (202, 0, None), (203, 0, None)]
+    wanted, stands = {}, []
+    for k, h, content in made:
+        same = [j for j, _, c in stands if c == content and c is not None]
+        close = sorted((bin((h ^ g) & (2**64 - 1)).count("1"), j) for j, g, _ in stands if h and g)
+        to = min(same) if same else next((j for d, j in close if d <= 3), None)
+        wanted[k] = to
+        if to is None:
+            stands.append((k, h, content))
+    df = spark.createDataFrame(made, "id long, h long, content string")
+    assert {r["id"]: r["duplicate_of"] for r in near.folded(df, "id", "h", "content").collect()} == wanted
+    assert near.folded(df.limit(0), "id", "h", "content").count() == 0
+
+
+def test_simhash_of_nulls_and_long_texts(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "water board"), (4, "board water"), (5, "ward " * 30_000)], "id long, text string")
+    got = {r["id"]: r["simhash"] for r in near.simhash(df, "id", "text").collect()}
+    assert got[1] == got[2] == 0 and got[3] == got[4] != 0 and got[5] != 0
+
+
+def test_numbering_and_closest_names(spark):
+    df = spark.createDataFrame([(k, k * 7 % 50) for k in range(200)], "id long, v long")
+    got = [r["id"] for r in keyed.numbered(df, [F.desc("v"), F.asc("id")], "n").orderBy("n").collect()]
+    assert got == [k for k, _ in sorted(((k, k * 7 % 50) for k in range(200)), key=lambda x: (-x[1], x[0]))]
+    rng = random.Random(2)
+    names = ["".join(rng.choice("abc") for _ in range(rng.randrange(0, 9))) for _ in range(120)]
+    a = spark.createDataFrame([(f"d{k:03}", n) for k, n in enumerate(names)], "domain string, name string")
+    b = a.select(F.col("domain").alias("other"), F.col("name").alias("other_name"))
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row = [i, *itertools.accumulate(range(1, len(y) + 1), lambda left, j, row=row, c=c: min(left + 1, row[j] + 1, row[j - 1] + (c != y[j - 1])), initial=i)][1:]
+        return row[-1]
+
+    wanted = {}
+    for k, x in enumerate(names):
+        ratios = [(1 - distance(x, y) / max(len(x), len(y)), f"d{j:03}") for j, y in enumerate(names) if j != k and x and y]
+        if ratios and max(ratios)[0] >= 0.75:
+            wanted[f"d{k:03}"] = (max(ratios)[1], round(max(ratios)[0], 6))
+    assert {r["domain"]: (r["other"], r["ratio"]) for r in places.closest(a, b).collect()} == wanted
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (7, 6), (6, 9), (3, 1)], "a long, b long")
     assert rows(near.components(edges), "node", "class") == [(1, 1), (2, 1), (3, 1), (6, 6), (7, 6), (9, 6)] or {n: c for n, c in rows(near.components(edges), "node", "class")} == {2: 1, 3: 1, 7: 6, 9: 6}
@@ -129,7 +181,7 @@ def test_places_on_empty(spark):
     assert places.locate(spark.createDataFrame([(1, 0.5, 0.5), (2, 0.6, 0.6), (3, None, 0.1)], none.schema), ring).collect()[0]["id"] == 1
 
 
-def test_pagerank_whole_takes_all_links_to_the_tolerance(spark, tmp_path):
+def test_pagerank_takes_all_links_to_the_tolerance(spark, tmp_path):
     from weir.plans.registry import QUERIES
 
     n, rows = 9, [(1 + k % 8, 1 + (k * k + k // 5) % 40, 1 + k % 6) for k in range(30)]  # supplier 9 has no rows
@@ -140,5 +192,5 @@ def test_pagerank_whole_takes_all_links_to_the_tolerance(spark, tmp_path):
     for _ in range(300):
         lost = sum(r for k, r in ranks.items() if not any(s == k for s, _ in links))
         ranks = {k: (0.15 + 0.85 * lost) / n + 0.85 * sum(ranks[s] / sum(x == s for x, _ in links) for s, d in links if d == k) for k in ranks}
-    got = {r["node"]: r["rank"] for r in QUERIES["pagerank_whole"](spark, str(tmp_path)).collect()}
+    got = {r["node"]: r["rank"] for r in QUERIES["pagerank"](spark, str(tmp_path)).collect()}
     assert got.keys() == ranks.keys() and sum(abs(got[k] - ranks[k]) for k in ranks) < 1e-6

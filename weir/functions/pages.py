@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Tags never read, tags around the content, tags that end a line, tags whose text may be main text.
@@ -347,6 +347,16 @@ def lemmas(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: [nepali_lemma(w) for w in ws], na_action="ignore")
 
 
+def expanded(queries: DataFrame, places: DataFrame, most: int = 4) -> DataFrame:
+    """Queries (id, q) with `variants`: the query, its stems, the other names of its places by a map in one row (places), in this order, each once."""
+    words = F.split("q", " ")
+    stemmed = queries.withColumn("lemma", F.array_join(lemmas(stems(words)), " "))
+    asked = F.concat(F.array("q", "lemma"), words)
+    others = F.transform(asked, lambda w: F.col("places")[w])
+    terms = F.filter(F.concat(F.array("q", "lemma"), others), lambda t: t.isNotNull() & (t != ""))
+    return stemmed.join(F.broadcast(places)).select("id", F.slice(F.array_distinct(terms), 1, most).alias("variants"))
+
+
 def windows(words: Column, size: int = 256, most: int = 16) -> Column:
     """Consecutive windows of so many words, at most so many of them."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(size))

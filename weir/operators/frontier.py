@@ -106,6 +106,12 @@ def file_findings(name: Column, size: Column) -> Column:
     return F.array_compact(F.array(*checks))
 
 
+def first_verdict(findings: Column) -> Column:
+    """What the metadata alone says: an ending that isn't known leaves a file unknown, any other finding makes it suspicious."""
+    odd = F.filter(findings, lambda f: f != "unexpected_extension")
+    return F.when(F.size(odd) > 0, "SUSPICIOUS").when(F.size(findings) > 0, "UNKNOWN").otherwise("SAFE")
+
+
 def event_fault() -> Column:
     """Why a site event is refused; null if it isn't. Fields: type, version, run, host, bucket, key_prefix, documents_prefix."""
     c = F.col

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weir.session import cut
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in this order; rows with a null key are dropped. The order must be total."""
@@ -17,6 +19,18 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return named.withColumn("__place", place).filter("__place = 1").drop("__place")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """All rows with their place in a total order, without bringing them into one task.
+
+    Rows are split by ranges of the order and numbered within their part; the sizes of the parts before it, one row a part, are added.
+    """
+    split = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = split.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).select("__part", "__before")  # as many rows as parts
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return split.withColumn("__place", place).join(F.broadcast(before), "__part").withColumn(name, F.col("__place") + F.col("__before")).drop("__part", "__place", "__before")
+
+
 def versions(df: DataFrame, key: str, content: str, order: list[Column]) -> DataFrame:
     """Each row with its version (one more whenever the content differs from the row before) and whether it changed it; a first row has."""
     window = Window.partitionBy(key).orderBy(*order)

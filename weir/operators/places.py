@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that say what kind of place a name is, the longer first.
-KINDS = ("sub-metropolitan city", "metropolitan city", "rural municipality", "municipality", "district", "महानगरपालिका", "नगरपालिका", "गाउँपालिका", "जिल्ला")
+KINDS = (
+    "sub-metropolitan city", "submetropolitan city", "metropolitan city", "rural municipality", "municipality", "upamahanagarpalika", "mahanagarpalika", "nagarpalika", "gaunpalika", "gaupalika", "province", "district",
+    "उपमहानगरपालिका", "महानगरपालिका", "नगरपालिका", "गाउँपालिका", "प्रदेश", "जिल्ला",
+)
 # Country names and top-level domains.
 COUNTRIES = {"nepal": "NP", "india": "IN", "bhutan": "BT", "bangladesh": "BD", "pakistan": "PK", "china": "CN", "sri lanka": "LK", "united kingdom": "GB", "united states": "US"}
 DOMAINS = {"np": "NP", "in": "IN", "bt": "BT", "bd": "BD", "pk": "PK", "cn": "CN", "lk": "LK", "uk": "GB", "us": "US"}
@@ -20,6 +23,7 @@ CELL, RADIUS, TOLERANCE = 0.25, 6378.137, 0.002
 
 
 def place_key(name: Column) -> Column:
+    """A name without the words for its kind, blanks and punctuation."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "(" + "|".join(KINDS) + ")", ""), r"[\s_.,'’()/-]", "")
 
 
@@ -81,9 +85,15 @@ def areas(polygons: DataFrame) -> DataFrame:
 
 def country(pages: DataFrame) -> DataFrame:
     """Pages (address, locale, region, lang, host) with `country` by the first signal that tells it."""
+    # two letters are a code, longer ones a name of the list
+    code = lambda c: F.when(F.char_length(F.trim(c)) == 2, F.upper(F.trim(c))).otherwise(lookup(COUNTRIES, F.lower(F.trim(c))))
     lookup = lambda table, key: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
-    after = lambda c, mark: F.when(F.col(c).contains(mark), F.upper(F.element_at(F.split(c, mark), 2)))
-    signals = [lookup(COUNTRIES, F.lower("address")), after("locale", "_"), F.nullif(F.upper(F.element_at(F.split("region", "-"), 1)), F.lit("")), F.when(F.col("lang") == "ne", "NP").otherwise(after("lang", "-")), lookup(DOMAINS, F.element_at(F.split("host", r"\."), -1))]
+    parts = lambda c: F.filter(F.split(c, "[-_]"), lambda x: x != "")
+    territory = lambda c: F.when(F.size(parts(c)) >= 2, code(F.element_at(parts(c), -1)))
+    region = F.when(F.col("region").rlike("^.[^-_]*[-_]"), F.regexp_extract("region", "^(.[^-_]*)[-_]", 1)).otherwise(F.col("region"))
+    spoken = F.when(F.lower(F.element_at(F.split("lang", "-"), 1)) == "ne", "NP")
+    domain = lookup(DOMAINS, F.lower(F.element_at(F.split(F.regexp_replace("host", r"\.$", ""), r"\."), -1)))
+    signals = [code(F.col("address")), territory(F.col("locale")), code(region), territory(F.col("lang")), spoken, domain]
     return pages.withColumn("country", F.coalesce(*signals))
 
 
@@ -97,10 +107,36 @@ def coordinates(metas: DataFrame) -> DataFrame:
     return metas.select("id", F.coalesce(pair("position", ";"), pair("icbm", ",")).alias("p")).select("id", "p.lat", "p.lng")
 
 
-def closest(names: DataFrame, others: DataFrame, least: float = 0.75) -> DataFrame:
-    """(domain, other, ratio): for each name the most similar other one that begins with the same three letters."""
-    left = names.withColumn("block", F.left("name", F.lit(3)))
-    right = others.withColumn("block", F.left("other_name", F.lit(3)))
+def grams_of(name: Column) -> Column:
+    """Pairs of letters of a name with its ends marked; the second and later ones of a kind are numbered."""
+    padded = F.concat(F.lit("^"), name, F.lit("$"))
+    pairs = F.transform(F.sequence(F.lit(1), F.char_length(padded) - 1), lambda k: F.substring(padded, k, F.lit(2)))
+    return F.transform(pairs, lambda x, k: F.concat(x, F.size(F.filter(F.slice(pairs, 1, k + 1), lambda y: y == x)).cast("string")))
+
+
+def closest(names: DataFrame, others: DataFrame, least: float = 0.75, within: list[str] | None = None) -> DataFrame:
+    """(domain, other, ratio): for each name (domain, name) the most similar of the other ones (other, other_name), in the same group if columns are given.
+
+    Similarity is one less the edit distance's share of the longer name. An edit touches two pairs of letters, so names that
+    are similar enough share one of the rarest pairs of both: only those are compared, and no pair is lost. Names that differ
+    in nothing are compared once. Null and empty names have no match; ties go to the greater `other`.
+    """
+    group = within or []
+    left = names.filter("name <> ''").withColumn("__g", grams_of(F.col("name")))
+    right = others.filter("other_name <> ''").withColumn("__g", grams_of(F.col("other_name")))
+    last = right.groupBy(*group, "other_name", "__g").agg(F.max("other").alias("last"))
+    second = right.drop("__g").join(last.drop("__g"), [*group, "other_name"]).filter("other < last").groupBy(*group, "other_name").agg(F.max("other").alias("second"))
+    heads = last.join(second, [*group, "other_name"], "left")
+    every = left.select(*group, "name", "__g").unionByName(heads.select(*group, F.col("other_name").alias("name"), "__g")).distinct()
+    rare = every.select(*group, F.explode("__g").alias("gram")).groupBy(*group, "gram").agg(F.count("*").alias("n"))
+
+    def rarest(df: DataFrame, name: str) -> DataFrame:
+        most = F.floor((1 - least) / least * F.char_length(name)) * 2 + 1  # the other name is at most so much longer
+        sorted_grams = df.select(*group, name, F.explode("__g").alias("gram")).join(rare, [*group, "gram"]).groupBy(*group, name).agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
+        return sorted_grams.select(*group, name, F.explode(F.slice("g", F.lit(1), most.cast("int"))).alias("s")).select(*group, name, "s.gram")
+
+    pairs = rarest(left.select(*group, "name", "__g").distinct(), "name").join(rarest(heads, "other_name"), [*group, "gram"]).select(*group, "name", "other_name").distinct()
     ratio = 1 - F.levenshtein("name", "other_name") / F.greatest(F.char_length("name"), F.char_length("other_name"))
-    alike = left.join(right, "block").filter("domain <> other AND name <> ''").withColumn("ratio", ratio).filter(F.col("ratio") >= least)
-    return alike.groupBy("domain").agg(F.max_by(F.struct("other", "ratio"), F.struct("ratio", "other")).alias("best")).select("domain", "best.other", F.round("best.ratio", 6).alias("ratio"))
+    alike = pairs.withColumn("ratio", ratio).filter(F.col("ratio") >= least).join(heads.drop("__g"), [*group, "other_name"])
+    met = left.drop("__g").join(alike, [*group, "name"]).withColumn("other", F.when(F.col("last") != F.col("domain"), F.col("last")).otherwise(F.col("second"))).filter("other IS NOT NULL")
+    return met.groupBy("domain").agg(F.max_by(F.struct("other", "ratio"), F.struct("ratio", "other")).alias("best")).select("domain", "best.other", F.round("best.ratio", 6).alias("ratio"))

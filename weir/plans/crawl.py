@@ -80,18 +80,16 @@ def frontier_select(spark: SparkSession, root: str) -> DataFrame:
 @query("""WITH h AS (SELECT host, max(-depth) AS priority, min(id) AS first FROM crawled_documents WHERE host IS NOT NULL GROUP BY host) SELECT host, ceil(row_number() OVER (ORDER BY priority DESC, first) / 10.0)::BIGINT AS batch FROM h""")
 def domain_batches(spark: SparkSession, root: str) -> DataFrame:
     """Hosts by priority and first appearance, in batches of ten; the order is over hosts, not pages."""
-    from pyspark.sql.window import Window
-
     hosts = table(spark, root, "crawled_documents").filter("host IS NOT NULL").groupBy("host").agg(F.max(-F.col("depth")).alias("priority"), F.min("id").alias("first"))
-    return hosts.select("host", F.ceil(F.row_number().over(Window.orderBy(F.desc("priority"), "first")) / 10).cast("long").alias("batch"))
+    return keyed.numbered(hosts, [F.desc("priority"), F.asc("first")], "place").select("host", F.ceil(F.col("place") / 10).cast("long").alias("batch"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, 1 + l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 5 = 0),
-    r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 2) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, 1 + l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem),
+    r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 4) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def crawl_bfs(spark: SparkSession, root: str) -> DataFrame:
     n = table(spark, root, "supplier").agg(F.count("*").alias("n")).scalar()
-    links = table(spark, root, "lineitem").filter("l_linenumber = 1 AND l_partkey % 5 = 0").select(F.col("l_suppkey").alias("src"), (1 + F.col("l_partkey") % n).alias("dst")).distinct()
-    return frontier.reached(spark.sql("SELECT 1L AS node"), links, 2)
+    links = table(spark, root, "lineitem").select(F.col("l_suppkey").alias("src"), (1 + F.col("l_partkey") % n).alias("dst")).distinct()
+    return frontier.reached(spark.sql("SELECT 1L AS node"), links, 4)
 
 
 @query("""SELECT c.id, CASE WHEN c.error = 'timeout' THEN 'failed' WHEN c.content_type NOT LIKE '%html%' THEN 'skipped' WHEN c.error IS NOT NULL THEN 'fetch_error' WHEN r.noindex THEN 'noindex' WHEN c.id > f.first THEN 'near_duplicate' ELSE 'written' END AS outcome
@@ -113,13 +111,14 @@ def robots_longest_match(spark: SparkSession, root: str) -> DataFrame:
     return frontier.allowed(literal(spark, TARGETS, "t(id, host, path)"), literal(spark, RULES, "t(host, rule, allow)"))
 
 
-ROBOTS_TAGS = "(1, 'noindex, follow'), (2, 'NONE'), (3, 'googlebot: nofollow'), (4, NULL), (5, 'all')"
+ROBOTS_TAGS = "(1, 'noindex, follow'), (2, 'NONE'), (3, 'googlebot: nofollow'), (4, NULL), (5, 'all'), (6, 'noindex nofollow'), (7, 'noindex;q, nofollow\tnoarchive'), (8, '')"
 
 
-@query(f"""WITH d AS (SELECT id, list_transform(string_split(lower(regexp_replace(coalesce(content, ''), '^[A-Za-z]+:', '')), ','), lambda x: trim(x)) AS d FROM (VALUES {ROBOTS_TAGS}) v(id, content))
+@query(f"""WITH d AS (SELECT id, string_split_regex(lower(regexp_replace(coalesce(content, ''), '^[A-Za-z]+:', '')), '[, \t]+') AS d FROM (VALUES {ROBOTS_TAGS}) v(id, content))
     SELECT id, list_has_any(d, ['noindex', 'none']) AS noindex, list_has_any(d, ['nofollow', 'none']) AS nofollow FROM d""")
 def robots_meta(spark: SparkSession, root: str) -> DataFrame:
-    said = F.transform(F.split(F.lower(F.regexp_replace(F.coalesce("content", F.lit("")), "^[A-Za-z]+:", "")), ","), lambda x: F.trim(x))
+    """Directives stand between commas, blanks or tabs; `none` is both."""
+    said = F.split(F.lower(F.regexp_replace(F.coalesce("content", F.lit("")), "^[A-Za-z]+:", "")), "[, \t]+")
     has = lambda *words: F.arrays_overlap(said, F.array(*map(F.lit, words)))
     return literal(spark, ROBOTS_TAGS, "t(id, content)").select("id", has("noindex", "none").alias("noindex"), has("nofollow", "none").alias("nofollow"))
 
@@ -161,16 +160,17 @@ def event_validate(spark: SparkSession, root: str) -> DataFrame:
     return literal(spark, EVENTS, "t(id, type, version, run, host, bucket, key_prefix, documents_prefix)").select("id", frontier.event_fault().alias("fault"))
 
 
+#: Endings that name no kind of file the gate knows make a file's first verdict unknown.
 FILES = "(1, 'a.html', 10L, 'CLEAN'), (2, 'a.exe', 10L, 'CLEAN'), (3, 'a.pdf.exe', 0L, NULL), (4, 'a.bin', 10L, 'INFECTED'), (5, 'a.txt', 99999999L, NULL), (6, 'a.csv', 5L, 'ERROR'), (7, '.htaccess', 5L, 'CLEAN')"
 
 
-@query("""SELECT * FROM (VALUES (1, '', 'SAFE', true), (2, 'suspicious_extension', 'SUSPICIOUS', false), (3, 'suspicious_extension,empty_file,multiple_extensions', 'SUSPICIOUS', false), (4, 'unexpected_extension', 'INFECTED', false), (5, 'file_too_large', 'SUSPICIOUS', false),
-    (6, '', 'UNKNOWN', false), (7, 'unexpected_extension', 'SUSPICIOUS', false)) v(id, findings, verdict, accepted)""")
+@query("""SELECT * FROM (VALUES (1, '', 'SAFE', 'SAFE', true), (2, 'suspicious_extension', 'SUSPICIOUS', 'SUSPICIOUS', false), (3, 'suspicious_extension,empty_file,multiple_extensions', 'SUSPICIOUS', 'SUSPICIOUS', false), (4, 'unexpected_extension', 'UNKNOWN', 'INFECTED', false), (5, 'file_too_large', 'SUSPICIOUS', 'SUSPICIOUS', false),
+    (6, '', 'SAFE', 'UNKNOWN', false), (7, 'unexpected_extension', 'UNKNOWN', 'SUSPICIOUS', false)) v(id, findings, first, verdict, accepted)""")
 def security_rules(spark: SparkSession, root: str) -> DataFrame:
     """Findings about files and the verdict with the scanner's; nothing passes that wasn't scanned clean."""
     rows = literal(spark, FILES, "t(id, name, size, scan)").withColumn("f", frontier.file_findings(F.col("name"), F.col("size")))
     verdict = F.when(F.col("scan") == "INFECTED", "INFECTED").when(F.col("scan") == "ERROR", "UNKNOWN").when(F.size("f") > 0, "SUSPICIOUS").otherwise("SAFE")
-    return rows.select("id", F.array_join("f", ",").alias("findings"), verdict.alias("verdict"), (F.coalesce(F.col("scan") == "CLEAN", F.lit(False)) & (F.size("f") == 0)).alias("accepted"))
+    return rows.select("id", F.array_join("f", ",").alias("findings"), frontier.first_verdict(F.col("f")).alias("first"), verdict.alias("verdict"), (F.coalesce(F.col("scan") == "CLEAN", F.lit(False)) & (F.size("f") == 0)).alias("accepted"))
 
 
 @query("""SELECT e.id, CASE WHEN m.name IS NULL THEN 'model' WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> m.dimensions THEN 'dimensions' WHEN len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0 THEN 'not_finite' END AS fault FROM page_embeddings e LEFT JOIN embedding_models m ON m.name = e.model_name""")

@@ -75,8 +75,8 @@ def geo_content_stats(spark: SparkSession, root: str) -> DataFrame:
 @query(f"""WITH {TAGS_SQL}, {LEVELS_SQL} SELECT grouping_id(province, district)::INTEGER AS g, province, district, count(DISTINCT page) AS pages FROM chain GROUP BY GROUPING SETS ((province, district), (province), ())""")
 def geo_grouping_sets(spark: SparkSession, root: str) -> DataFrame:
     """The same roll-up as grouping sets."""
-    chained(spark, root).createOrReplaceTempView("__chain")
-    return spark.sql("SELECT cast(grouping_id(province, district) AS int) AS g, province, district, count(DISTINCT page) AS pages FROM __chain GROUP BY GROUPING SETS ((province, district), (province), ())")
+    sets = [["province", "district"], ["province"], []]
+    return chained(spark, root).groupingSets(sets, "province", "district").agg(F.grouping_id().cast("int").alias("g"), F.count_distinct("page").alias("pages")).select("g", "province", "district", "pages")
 
 
 @query(f"WITH {TAGS_SQL}, {LEVELS_SQL} SELECT r.code, r.name, count(DISTINCT l.page) AS pages FROM regions r LEFT JOIN levels l ON l.level = r.level AND l.code = r.code WHERE r.level = 'district' AND r.parent = 2 GROUP BY 1, 2")
@@ -109,9 +109,9 @@ def regional_card(spark: SparkSession, root: str) -> DataFrame:
     return own.select(F.expr("stack(3, 1, 'local', s_name, 2, 'district', n_name, 3, 'province', r_name) AS (rank, level, name)")).filter("name IS NOT NULL")
 
 
-NAMES = "('Kusma Municipality', 1), ('Pokhara Metropolitan City', 2), ('Pokhara', 3), ('Lamjung District', 4), ('Nowhere', 5), ('kusma', 6), ('पोखरा महानगरपालिका', 7)"
+NAMES = "('Kusma Municipality', 1), ('Pokhara Metropolitan City', 2), ('Pokhara', 3), ('Lamjung District', 4), ('Nowhere', 5), ('kusma', 6), ('पोखरा महानगरपालिका', 7), ('Pokhara Upamahanagarpalika', 8), ('कुश्मा उपमहानगरपालिका', 9), ('Lamjung Province', 10)"
 GAZETTEER = "('Pokhara', 'पोखरा', 'L1'), ('Kusma', 'कुश्मा', 'L2'), ('Lamjung', 'लमजुङ', 'D1'), ('Kusmanagar', 'कुश्मानगर', 'L3')"
-KEY_SQL = "regexp_replace(regexp_replace(lower(trim({0})), '(sub-metropolitan city|metropolitan city|rural municipality|municipality|district|महानगरपालिका|नगरपालिका|गाउँपालिका|जिल्ला)', '', 'g'), '[\\s_.,''’()/-]', '', 'g')"
+KEY_SQL = "regexp_replace(regexp_replace(lower(trim({0})), '(sub-metropolitan city|submetropolitan city|metropolitan city|rural municipality|municipality|upamahanagarpalika|mahanagarpalika|nagarpalika|gaunpalika|gaupalika|province|district|उपमहानगरपालिका|महानगरपालिका|नगरपालिका|गाउँपालिका|प्रदेश|जिल्ला)', '', 'g'), '[\\s_.,''’()/-]', '', 'g')"
 
 
 @query(f"""WITH n AS (SELECT id, {KEY_SQL.format('name')} AS k FROM (VALUES {NAMES}) v(name, id)), g AS (SELECT code, {KEY_SQL.format('en')} AS e, {KEY_SQL.format('ne')} AS d FROM (VALUES {GAZETTEER}) v(en, ne, code)),
@@ -145,11 +145,13 @@ def polygon_area(spark: SparkSession, root: str) -> DataFrame:
     return places.areas(literal(spark, SQUARES, "t(code, ring)")).select("code", F.round("area", 3).alias("area"))
 
 
-SIGNALS = "(1, 'Nepal', NULL, NULL, NULL, 'a.com'), (2, NULL, 'ne_NP', NULL, NULL, 'a.com'), (3, NULL, NULL, 'in-UP', NULL, 'a.org'), (4, NULL, NULL, NULL, 'ne', 'a.org'), (5, NULL, NULL, NULL, NULL, 'x.gov.np'), (6, NULL, NULL, NULL, NULL, 'x.co.uk'), (7, NULL, NULL, NULL, 'en', 'x.com')"
+SIGNALS = "(1, 'Nepal', NULL, NULL, NULL, 'a.com'), (2, NULL, 'ne_NP', NULL, NULL, 'a.com'), (3, NULL, NULL, 'in-UP', NULL, 'a.org'), (4, NULL, NULL, NULL, 'ne', 'a.org'), (5, NULL, NULL, NULL, NULL, 'x.gov.np'), (6, NULL, NULL, NULL, NULL, 'x.co.uk'), (7, NULL, NULL, NULL, 'en', 'x.com'), (8, ' np ', NULL, NULL, NULL, 'x.com'), (9, 'Mars', 'ne-NP', NULL, NULL, 'x.com'), (10, NULL, 'ne', 'NP_BA', NULL, 'x.com'), (11, NULL, NULL, NULL, 'en-Latn-IN', 'x.com'), (12, NULL, NULL, 'Nepal', NULL, 'x.com'), (13, NULL, NULL, NULL, NULL, 'X.GOV.NP.')"
+CODE_SQL = "CASE WHEN length(trim({0})) = 2 THEN upper(trim({0})) ELSE CASE lower(trim({0})) WHEN 'nepal' THEN 'NP' WHEN 'india' THEN 'IN' WHEN 'bhutan' THEN 'BT' WHEN 'bangladesh' THEN 'BD' WHEN 'pakistan' THEN 'PK' WHEN 'china' THEN 'CN' WHEN 'sri lanka' THEN 'LK' WHEN 'united states' THEN 'US' WHEN 'united kingdom' THEN 'GB' END END"
+TERRITORY_SQL = "CASE WHEN len(list_filter(string_split_regex({0}, '[-_]'), lambda x: x <> '')) >= 2 THEN " + CODE_SQL.replace("{0}", "(list_filter(string_split_regex({0}, '[-_]'), lambda x: x <> ''))[-1]") + " END"
 
 
-@query(f"""SELECT id, coalesce(CASE lower(address) WHEN 'nepal' THEN 'NP' WHEN 'india' THEN 'IN' WHEN 'bhutan' THEN 'BT' END, CASE WHEN locale LIKE '%\\_%' ESCAPE '\\' THEN upper(split_part(locale, '_', 2)) END, upper(nullif(split_part(region, '-', 1), '')),
-    CASE WHEN lang = 'ne' THEN 'NP' WHEN contains(lang, '-') THEN upper(split_part(lang, '-', 2)) END, CASE split_part(host, '.', -1) WHEN 'np' THEN 'NP' WHEN 'in' THEN 'IN' WHEN 'uk' THEN 'GB' WHEN 'us' THEN 'US' WHEN 'bt' THEN 'BT' END) AS country
+@query(f"""SELECT id, coalesce({CODE_SQL.format("address")}, {TERRITORY_SQL.format("locale")}, {CODE_SQL.format("regexp_replace(region, '^(.[^-_]*)[-_].*$', '\\1')")}, {TERRITORY_SQL.format("lang")}, CASE WHEN lower(split_part(lang, '-', 1)) = 'ne' THEN 'NP' END,
+    CASE lower(split_part(rtrim(host, '.'), '.', -1)) WHEN 'np' THEN 'NP' WHEN 'in' THEN 'IN' WHEN 'bt' THEN 'BT' WHEN 'bd' THEN 'BD' WHEN 'pk' THEN 'PK' WHEN 'cn' THEN 'CN' WHEN 'lk' THEN 'LK' WHEN 'uk' THEN 'GB' WHEN 'us' THEN 'US' END) AS country
     FROM (VALUES {SIGNALS}) v(id, address, locale, region, lang, host)""")
 def country_detect(spark: SparkSession, root: str) -> DataFrame:
     """The country by the first signal that tells it."""
@@ -168,8 +170,10 @@ def geo_from_meta(spark: SparkSession, root: str) -> DataFrame:
     return places.coordinates(literal(spark, METAS, "t(id, position, icbm)"))
 
 
-@query()
+@query("""WITH n AS (SELECT domain, category, regexp_replace(lower(domain), '[^a-z].*$', '') AS name FROM domains),
+    p AS (SELECT a.domain, b.domain AS other, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))::DOUBLE AS ratio FROM n a JOIN n b ON a.category = b.category AND a.domain <> b.domain WHERE a.name <> '' AND b.name <> '')
+    SELECT domain, other, round(ratio, 6) AS ratio FROM p WHERE ratio >= 0.75 QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ratio DESC, other DESC) = 1""")
 def fuzzy_match(spark: SparkSession, root: str) -> DataFrame:
-    """Each domain's name with the nearest host of the same first letters, by edit distance."""
-    names = table(spark, root, "domains").select("domain", F.regexp_replace(F.lower(F.col("domain")), r"[^a-z].*$", "").alias("name"))
-    return places.closest(names, names.select(F.col("domain").alias("other"), F.col("name").alias("other_name")))
+    """Each domain's name with the nearest other one of its category, by edit distance."""
+    names = table(spark, root, "domains").select("domain", "category", F.regexp_replace(F.lower(F.col("domain")), r"[^a-z].*$", "").alias("name"))
+    return places.closest(names, names.select("category", F.col("domain").alias("other"), F.col("name").alias("other_name")), within=["category"])

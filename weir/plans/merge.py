@@ -62,13 +62,14 @@ def merge_run(spark: SparkSession, root: str) -> DataFrame:
     return runs.select("id", F.coalesce("status", F.lit("RUNNING")).alias("status"), F.coalesce("documents", F.lit(0)).alias("documents"), "newest", "started_at")
 
 
-@query("""WITH c AS (SELECT id AS page_id, unnest(links) AS link FROM crawled_documents WHERE id % 2 = 0),
-    i AS (SELECT DISTINCT page_id, link FROM (SELECT id AS page_id, unnest(internal_links) AS link FROM crawled_documents WHERE id % 4 = 0))
+@query("""WITH c AS (SELECT id AS page_id, unnest(links) AS link FROM crawled_documents),
+    i AS (SELECT DISTINCT page_id, link FROM (SELECT id AS page_id, unnest(internal_links) AS link FROM crawled_documents WHERE status_code = 200))
     SELECT DISTINCT page_id, link FROM c WHERE page_id NOT IN (SELECT page_id FROM i) UNION ALL SELECT page_id, link FROM i""")
 def replace_children(spark: SparkSession, root: str) -> DataFrame:
+    """The links of all pages, those of pages fetched well replaced by their internal ones."""
     pages = table(spark, root, "crawled_documents")
-    children = pages.filter("id % 2 = 0").select(F.col("id").alias("page_id"), F.explode("links").alias("link")).distinct()
-    incoming = pages.filter("id % 4 = 0").select(F.col("id").alias("page_id"), F.explode("internal_links").alias("link"))
+    children = pages.select(F.col("id").alias("page_id"), F.explode("links").alias("link")).distinct()
+    incoming = pages.filter("status_code = 200").select(F.col("id").alias("page_id"), F.explode("internal_links").alias("link"))
     return keyed.replace_children(children, incoming, "page_id")
 
 
@@ -89,7 +90,8 @@ def simhash(spark: SparkSession, root: str) -> DataFrame:
     return hashed.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("simhash"))
 
 
-@query()
+@query(f"""WITH {SIMHASH_SQL}, heads AS (SELECT h, min(d.doc_id) AS head, count(*) AS copies FROM documents d JOIN hashes USING (doc_id) WHERE h <> 0 GROUP BY h)
+    SELECT a.head AS a, b.head AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance, a.copies AS copies_a, b.copies AS copies_b FROM heads a JOIN heads b ON a.head < b.head WHERE bit_count(xor(a.h, b.h)) <= 3""")
 def simhash_near_dups(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of different fingerprints at most three bits apart, between the lowest ids of each, and how many documents each stands for."""
     hashed = near.simhash(table(spark, root, "documents").filter("text IS NOT NULL"), "doc_id", "text")
@@ -98,9 +100,10 @@ def simhash_near_dups(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def dedup_fold(spark: SparkSession, root: str) -> DataFrame:
-    """Each document with the class of near-duplicates it folds into and the number of its class's links."""
-    hashed = near.simhash(table(spark, root, "documents").filter("text IS NOT NULL"), "doc_id", "text")
-    return near.classes(hashed, "doc_id", "simhash")
+    """Each document with the older one it folds into: the first of the same text, else the nearest within three bits; null if it stands."""
+    docs = table(spark, root, "documents").filter("text IS NOT NULL")
+    hashed = near.simhash(docs, "doc_id", "text").join(docs.select("doc_id", F.sha2("text", 256).alias("content")), "doc_id")
+    return near.folded(hashed, "doc_id", "simhash", "content")
 
 
 @query("""WITH q AS (SELECT o_orderkey AS id, o_orderdate AS queued_at, CASE WHEN o_orderstatus = 'O' THEN 'UNPROCESSED' WHEN o_orderstatus = 'P' THEN 'PROCESSING' ELSE 'PROCESSED' END AS status FROM orders),

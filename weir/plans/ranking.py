@@ -15,6 +15,8 @@ from weir.sources.tables import table
 TOKEN_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\x{0900}-\\x{097F}]+')"
 #: Rounds of PageRank at most, and the change (sum over all pages) below which they end.
 MOST_ROUNDS, TOLERANCE = 100, 1e-8
+#: Rounds of the SQL that the ranks are compared with: more than the tolerance takes on these graphs.
+SQL_ROUNDS = 16
 TERMS = ["water", "board", "ward", "खानेपानी"]
 BM25_SQL = f"""tok AS (SELECT doc_id, {TOKEN_SQL} AS t FROM documents WHERE text IS NOT NULL),
     doc AS (SELECT doc_id, len(t) AS length, t FROM tok WHERE len(t) > 0), st AS (SELECT count(*) AS n, avg(length) AS mean FROM doc),
@@ -91,8 +93,8 @@ NEWEST_SQL = """pages AS (SELECT id AS page, normalized_url AS url, host, title
         QUALIFY row_number() OVER (PARTITION BY normalized_url ORDER BY fetched_at DESC NULLS LAST, id DESC) = 1)"""
 # the crawl's links lead to pages that were never stored, so the link graph is made of suppliers and their parts
 PAGES_SQL = """pages AS (SELECT s_suppkey AS page, 'https://' || s_suppkey || '.example' || CASE WHEN s_suppkey % 2 = 0 THEN '/' ELSE '' END AS url, s_nationkey AS host, items, latest FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS items, max(l_shipdate) AS latest FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey),
-    l AS (SELECT DISTINCT l_suppkey AS src, 'https://' || (1 + l_partkey % (SELECT count(*) FROM supplier)) || '.example' || CASE WHEN l_partkey % 3 = 0 THEN '/' ELSE '' END AS link FROM lineitem WHERE l_suppkey % 7 > 0 AND l_linenumber < 3), v AS (SELECT src, link AS url FROM l UNION SELECT src, rtrim(link, '/') FROM l UNION SELECT src, rtrim(link, '/') || '/' FROM l),
-    edges AS (SELECT DISTINCT v.src, p.page AS dst FROM v JOIN pages p ON p.url = v.url WHERE v.src <> p.page)"""
+    l AS (SELECT DISTINCT l_suppkey AS src, 'https://' || (1 + l_partkey % (SELECT count(*) FROM supplier)) || '.example' || CASE WHEN l_partkey % 3 = 0 THEN '/' ELSE '' END AS link FROM lineitem), v AS (SELECT src, link AS url FROM l UNION SELECT src, rtrim(link, '/') FROM l UNION SELECT src, rtrim(link, '/') || '/' FROM l),
+    edges AS MATERIALIZED (SELECT DISTINCT v.src, p.page AS dst FROM v JOIN pages p ON p.url = v.url WHERE v.src <> p.page)"""
 
 
 def newest(spark: SparkSession, root: str) -> DataFrame:
@@ -101,16 +103,12 @@ def newest(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("id").alias("page"), F.col("normalized_url").alias("url"), "host", "title")
 
 
-def pages_of(spark: SparkSession, root: str, whole: bool = False) -> DataFrame:
-    """Suppliers as pages that link to others; some name themselves with a slash at the end, some links do, some pages have no links.
-
-    The SQL's graph has a part of the links; `whole` takes those of all rows.
-    """
+def pages_of(spark: SparkSession, root: str) -> DataFrame:
+    """Suppliers as pages that link to others by all their items; some name themselves with a slash at the end, some links do."""
     suppliers, items = table(spark, root, "supplier"), table(spark, root, "lineitem")
     n = suppliers.agg(F.count("*").alias("n")).scalar()
     link = F.concat(F.lit("https://"), 1 + F.col("l_partkey") % n, F.lit(".example"), F.when(F.col("l_partkey") % 3 == 0, "/").otherwise(""))
-    linking = F.lit(True) if whole else (F.col("l_suppkey") % 7 > 0) & (F.col("l_linenumber") < 3)
-    about = items.groupBy(F.col("l_suppkey").alias("page")).agg(F.count("*").alias("items"), F.max("l_shipdate").alias("latest"), F.collect_set(F.when(linking, link)).alias("links"))
+    about = items.groupBy(F.col("l_suppkey").alias("page")).agg(F.count("*").alias("items"), F.max("l_shipdate").alias("latest"), F.collect_set(link).alias("links"))
     url = F.concat(F.lit("https://"), F.col("s_suppkey"), F.lit(".example"), F.when(F.col("s_suppkey") % 2 == 0, "/").otherwise(""))
     return suppliers.select(F.col("s_suppkey").alias("page"), url.alias("url"), F.col("s_nationkey").alias("host")).join(about, "page", "left")
 
@@ -132,30 +130,23 @@ def link_stats(spark: SparkSession, root: str) -> DataFrame:
 
 def unrolled(rounds: int) -> str:
     """The rounds of PageRank as common table expressions."""
-    steps = ["deg AS (SELECT src, count(*) AS degree FROM edges GROUP BY src), cnt AS (SELECT count(*)::DOUBLE AS n FROM pages), r0 AS (SELECT page, 1.0::DOUBLE / n AS rank FROM pages, cnt)"]
+    steps = ["deg AS MATERIALIZED (SELECT src, count(*) AS degree FROM edges GROUP BY src), cnt AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM pages), r0 AS MATERIALIZED (SELECT page, 1.0::DOUBLE / n AS rank FROM pages, cnt)"]
     for k in range(rounds):
-        steps.append(f"l{k} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{k} WHERE page NOT IN (SELECT src FROM deg)), g{k} AS (SELECT e.dst AS page, sum(r.rank / d.degree) AS given FROM edges e JOIN r{k} r ON r.page = e.src JOIN deg d ON d.src = e.src GROUP BY e.dst), r{k + 1} AS (SELECT r.page, (0.15 + 0.85 * lost) / n + 0.85 * coalesce(given, 0) AS rank FROM r{k} r LEFT JOIN g{k} USING (page), l{k}, cnt)")
+        steps.append(f"l{k} AS MATERIALIZED (SELECT coalesce(sum(rank), 0) AS lost FROM r{k} WHERE page NOT IN (SELECT src FROM deg)), g{k} AS MATERIALIZED (SELECT e.dst AS page, sum(r.rank / d.degree) AS given FROM edges e JOIN r{k} r ON r.page = e.src JOIN deg d ON d.src = e.src GROUP BY e.dst), r{k + 1} AS MATERIALIZED (SELECT r.page, (0.15 + 0.85 * lost) / n + 0.85 * coalesce(given, 0) AS rank FROM r{k} r LEFT JOIN g{k} USING (page), l{k}, cnt)")
     return ", ".join(steps)
 
 
-@query(f"WITH {PAGES_SQL}, {unrolled(4)} SELECT page AS node, round(rank, 9) AS rank FROM r4")
+@query(f"WITH {PAGES_SQL}, {unrolled(SQL_ROUNDS)} SELECT page AS node, round(rank, 9) AS rank FROM r{SQL_ROUNDS}")
 def pagerank(spark: SparkSession, root: str) -> DataFrame:
     pages = pages_of(spark, root)
-    return rank.pagerank(pages.select(F.col("page").alias("node")), rank.edges(pages), 4).select("node", F.round("rank", 9).alias("rank"))
-
-
-@query()
-def pagerank_whole(spark: SparkSession, root: str) -> DataFrame:
-    """Ranks over the links of all rows, until a round changes them by less than the tolerance."""
-    pages = pages_of(spark, root, whole=True)
-    return rank.pagerank(pages.select(F.col("page").alias("node")), rank.edges(pages), MOST_ROUNDS, TOLERANCE)
+    return rank.pagerank(pages.select(F.col("page").alias("node")), rank.edges(pages), MOST_ROUNDS, TOLERANCE).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query(f"""WITH {PAGES_SQL}, {unrolled(4)}, x AS (SELECT p.host, sum(rank) * any_value(n) AS v FROM pages p JOIN r4 USING (page), cnt WHERE p.host IS NOT NULL GROUP BY p.host)
+@query(f"""WITH {PAGES_SQL}, {unrolled(SQL_ROUNDS)}, x AS (SELECT p.host, sum(rank) * any_value(n) AS v FROM pages p JOIN r{SQL_ROUNDS} USING (page), cnt WHERE p.host IS NOT NULL GROUP BY p.host)
     SELECT host, round(least(1.0, ln(1 + v) / ln(1 + (SELECT max(v) FROM x))), 6) AS authority FROM x""")
 def domain_authority(spark: SparkSession, root: str) -> DataFrame:
     pages = pages_of(spark, root)
-    ranks = rank.pagerank(pages.select(F.col("page").alias("node")), rank.edges(pages), 4)
+    ranks = rank.pagerank(pages.select(F.col("page").alias("node")), rank.edges(pages), MOST_ROUNDS, TOLERANCE)
     return authority(pages, ranks).select("host", F.round("authority", 6).alias("authority"))
 
 
@@ -165,16 +156,16 @@ def authority(pages: DataFrame, ranks: DataFrame) -> DataFrame:
     return summed.select("host", rank.log_scale(F.col("v"), summed.agg(F.max("v").alias("m")).scalar()).alias("authority"))
 
 
-@query(f"""WITH {PAGES_SQL}, {unrolled(4)}, nw AS (SELECT max(latest) AS t FROM pages),
-    a AS (SELECT host, sum(rank) * any_value(n) AS v FROM pages p JOIN r4 USING (page), cnt WHERE host IS NOT NULL GROUP BY host),
-    s AS (SELECT p.page, least(1.0, ln(1 + r.rank * n) / ln(1 + (SELECT max(rank) FROM r4) * n)) AS pr, coalesce(least(1.0, ln(1 + a.v) / ln(1 + (SELECT max(v) FROM a))), 0) AS authority,
+@query(f"""WITH {PAGES_SQL}, {unrolled(SQL_ROUNDS)}, nw AS (SELECT max(latest) AS t FROM pages),
+    a AS (SELECT host, sum(rank) * any_value(n) AS v FROM pages p JOIN r{SQL_ROUNDS} USING (page), cnt WHERE host IS NOT NULL GROUP BY host),
+    s AS (SELECT p.page, least(1.0, ln(1 + r.rank * n) / ln(1 + (SELECT max(rank) FROM r{SQL_ROUNDS}) * n)) AS pr, coalesce(least(1.0, ln(1 + a.v) / ln(1 + (SELECT max(v) FROM a))), 0) AS authority,
         least(1.0, ln(1 + coalesce(p.items, 0)) / ln(1001)) AS quality,
-        CASE WHEN p.latest IS NULL THEN 0 ELSE pow(0.5, epoch(nw.t - p.latest) / 86400.0 / 180) END AS freshness FROM pages p JOIN r4 r USING (page) LEFT JOIN a ON a.host = p.host, cnt, nw)
+        CASE WHEN p.latest IS NULL THEN 0 ELSE pow(0.5, epoch(nw.t - p.latest) / 86400.0 / 180) END AS freshness FROM pages p JOIN r{SQL_ROUNDS} r USING (page) LEFT JOIN a ON a.host = p.host, cnt, nw)
     SELECT page, round(quality, 6) AS quality, round(freshness, 6) AS freshness, round(greatest(0, least(1, 0.4 * pr + 0.2 * authority + 0.2 * quality + 0.2 * freshness)), 6) AS static_rank FROM s""")
 def page_scores(spark: SparkSession, root: str) -> DataFrame:
     """Rank, authority, length and age of each page in one score."""
     pages = pages_of(spark, root)
-    ranks = rank.pagerank(pages.select(F.col("page").alias("node")), rank.edges(pages), 4)
+    ranks = rank.pagerank(pages.select(F.col("page").alias("node")), rank.edges(pages), MOST_ROUNDS, TOLERANCE)
     hosts = authority(pages, ranks)
     n, top, now = ranks.agg(F.count("*").alias("n")).scalar(), ranks.agg(F.max("rank").alias("m")).scalar(), pages.agg(F.max("latest").alias("t")).scalar()
     joined = pages.join(ranks.withColumnRenamed("node", "page"), "page").join(hosts, "host", "left")

@@ -156,19 +156,22 @@ def query_language(spark: SparkSession, root: str) -> DataFrame:
     return literal(spark, ASKED, "t(id, q)").select("id", F.coalesce(html.normalized_query("q"), F.lit("")).alias("query")).select("id", language.alias("language"))
 
 
-PLACES = "'pokhara', 'पोखरा', 'kusma', 'कुश्मा'"
+#: Names of places in both scripts.
+PLACES = "('pokhara', 'पोखरा'), ('kusma', 'कुश्मा'), ('lumbini park', 'लुम्बिनी उद्यान')"
+QUERIES = "(1, 'Pokhara  roads'), (2, 'पोखरा'), (3, 'road'), (4, 'kusma pokhara maps taxes'), (5, 'lumbini park'), (6, 'खानेपानी'), (7, '')"
 
 
-@query("SELECT * FROM (VALUES (1, 'pokhara water|pokhara wat|पोखरा'), (2, 'पोखरा|pokhara'), (3, 'road|road')) v(id, variants)".replace("road|road", "road"))
+@query(f"""WITH q AS (SELECT id, lower(trim(regexp_replace(q, '\\s+', ' ', 'g'))) AS q FROM (VALUES {QUERIES}) v(id, q)), p AS (SELECT * FROM (VALUES {PLACES}) v(en, ne)), both_ways AS (SELECT en AS a, ne AS b FROM p UNION ALL SELECT ne, en FROM p),
+    w AS (SELECT id, q, unnest(string_split(q, ' ')) AS w, unnest(range(len(string_split(q, ' ')))) AS n FROM q),
+    s AS (SELECT id, q, string_agg(CASE WHEN regexp_matches(w, '[^s]s$') THEN CASE WHEN w LIKE '%es' AND w NOT LIKE '%oses' THEN left(w, -2) ELSE left(w, -1) END ELSE w END, ' ' ORDER BY n) AS lemma FROM w GROUP BY id, q),
+    t AS (SELECT id, 0 AS k, q AS term FROM s UNION ALL SELECT id, 1, lemma FROM s WHERE lemma <> '' UNION ALL SELECT id, 2, b FROM s JOIN both_ways ON a = q UNION ALL SELECT id, 3, b FROM s JOIN both_ways ON a = lemma UNION ALL SELECT id, 4 + n, b FROM w JOIN both_ways ON a = w),
+    f AS (SELECT id, term, min(k) AS k FROM t WHERE term <> '' GROUP BY id, term), o AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY k) AS r FROM f)
+    SELECT q.id, coalesce(string_agg(term, '|' ORDER BY r) FILTER (WHERE r <= 4), '') AS variants FROM q LEFT JOIN o USING (id) GROUP BY q.id""")
 def query_expand(spark: SparkSession, root: str) -> DataFrame:
-    """A query with its stems and the other spelling of its places, each once, at most four."""
-    pair = [x.strip(" '") for x in PLACES.split(",")]
-    both = F.create_map(*[F.lit(x) for k in range(0, len(pair), 2) for x in (pair[k], pair[k + 1], pair[k + 1], pair[k])])
-    words = F.split("q", " ")
-    places = F.filter(F.transform(words, lambda w: both[w]), lambda w: w.isNotNull())
-    stem = F.array_join(html.stems(words), " ")
-    given = literal(spark, "(1, 'pokhara water'), (2, 'पोखरा'), (3, 'road')", "t(id, q)")
-    return given.select("id", F.array_join(F.slice(F.array_distinct(F.concat(F.array("q", F.regexp_replace(stem, "water", "wat")), places)), 1, 4), "|").alias("variants"))
+    """A query, its stems, and the other spelling of its places (the whole query, its stems, its words), each once, at most four."""
+    given = literal(spark, QUERIES, "t(id, q)").select("id", html.normalized_query("q").alias("q"))
+    pairs = literal(spark, PLACES, "t(en, ne)").select(F.explode(F.array(F.struct(F.col("en").alias("key"), F.col("ne").alias("value")), F.struct(F.col("ne").alias("key"), F.col("en").alias("value")))).alias("e"))
+    return html.expanded(given, pairs.agg(F.map_from_entries(F.collect_list("e")).alias("places"))).select("id", F.array_join("variants", "|").alias("variants"))
 
 
 CODES = "(1, 'en-US'), (2, 'ne_NP'), (3, 'FR'), (4, NULL), (5, '')"

@@ -28,21 +28,35 @@ def build_session(app: str = "weir", master: str = "local[8]", **conf: str) -> S
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's own if it names one, else a local one (tests only)."""
+    """The shared checkpoint folder the cluster names; only a local session may do without and gets one of its own machine."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "weir-checkpoints")
     context.setCheckpointDir(folder)
     return folder
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder of written tables in the shared checkpoint folder."""
+    return os.path.join(ensure_checkpoint_dir(spark), "weir-" + spark.sparkContext.applicationId)
+
+
+def sweep(spark: SparkSession) -> bool:
+    """Remove this application's written tables; to be called when no result that reads them is needed any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    return bool(path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared checkpoint folder and go on from there: no lineage, compressed, safe from lost executors."""
-    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), f"cut-{uuid.uuid4().hex}")
+    path = os.path.join(scratch(df.sparkSession), f"cut-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
