@@ -79,3 +79,41 @@ def mode(df: DataFrame, group: str, value: str, unit: str) -> DataFrame:
     """The most common value of each group by distinct units; equal counts go to the smaller value."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count_distinct(unit).alias("uses"))
     return latest(counted, [group], [F.desc("uses"), F.asc(value)])
+
+
+def finished(queue: DataFrame, results: DataFrame) -> DataFrame:
+    """The queue (id, status) with its claimed rows marked by their results (id, error): failed with the error, or processed without one.
+
+    Claimed rows without a result and rows that weren't claimed stay as they are; their `error` is null.
+    """
+    told = results.groupBy("id").agg(F.max("error").alias("__error")).withColumn("__told", F.lit(True))
+    joined = queue.join(told, "id", "left")
+    claimed = (F.col("status") == "PROCESSING") & F.col("__told")
+    status = F.when(claimed & F.col("__error").isNotNull(), "FAILED").when(claimed, "PROCESSED").otherwise(F.col("status"))
+    return joined.withColumn("error", F.when(claimed, F.col("__error"))).withColumn("status", status).drop("__error", "__told")
+
+
+def quarantined(bad: DataFrame, signature: str, pages: DataFrame, id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of bad rows: the records (signature, id, times) by signature with the last row of each; the rows to be parked; the pages that stay.
+
+    A null signature has no record, its rows are parked all the same.
+    """
+    records = bad.filter(F.col(signature).isNotNull()).groupBy(signature).agg(F.max(id).alias(id), F.count("*").alias("times"))
+    return records, bad.select(id), pages.join(bad.select(id), id, "left_anti")
+
+
+def count_maps(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """For each group the number of rows of each value as a map: counted by value first, so a group with very many rows meets in no task."""
+    counted = df.groupBy(*group, value).agg(F.count("*").alias("__n"))
+    return counted.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct(F.col(value).alias("key"), F.col("__n").alias("value")))).alias(value))
+
+
+def followed(rows: DataFrame, later: DataFrame, id: str, key: str, at: str, then: str, seconds: int) -> DataFrame:
+    """Rows with `n`, how many of `later` (key, then) have their key and come within so many seconds from their time on.
+
+    Both are cut into slots of that length, so a row meets its own slot and the next, not all of its key's.
+    """
+    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / seconds)
+    early = rows.select(id, key, at, F.explode(F.array(slot(at), slot(at) + 1)).alias("__slot"))
+    met = early.join(later.select(key, then, slot(then).alias("__slot")), [key, "__slot"]).filter((F.col(then) >= F.col(at)) & (F.col(then) < F.col(at) + F.make_dt_interval(secs=F.lit(seconds))))
+    return rows.join(met.groupBy(id).agg(F.count("*").alias("n")), id, "left").withColumn("n", F.coalesce("n", F.lit(0)))

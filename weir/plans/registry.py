@@ -27,4 +27,4 @@ def literal(spark: SparkSession, rows: str, alias: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS {alias}")
 
 
-from weir.plans import crawl, geo, merge, ranking, searchlog, sources, text  # noqa: E402, F401  (they register their queries)
+from weir.plans import crawl, geo, merge, ranking, search, searchlog, sources, state, text  # noqa: E402, F401  (they register their queries)
