@@ -261,6 +261,20 @@ def test_neighbours_against_brute_force(spark):
     assert {(k, 600 + k) for k in range(40)} <= pairs and all((50, k) in pairs for k in range(700, 709))
 
 
+def test_exact_neighbours_of_vectors_without_structure(spark):
+    x = np.random.default_rng(8).standard_normal((900, 16)).astype(np.float32)
+    vectors = spark.createDataFrame([(k, "m", [float(v) for v in row]) for k, row in enumerate(x)], "id long, model_name string, embedding array<float>")
+    models = spark.createDataFrame([("m", 16)], "name string, dimensions int")
+    n = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    sims = n @ n.T
+    np.fill_diagonal(sims, -9)
+    for exact, least in ((True, 1.0), (False, 0.9)):
+        got = {}
+        for r in neighbours.neighbours(vectors, models, exact).collect():
+            got.setdefault(r["id"], []).append(r["similarity"])
+        assert sum(sum(s >= np.sort(sims[k])[-10] - 1e-9 for s in got.get(k, [])) for k in range(900)) >= least * 9000
+
+
 def test_encoding_round_trip_and_reference(spark):
     rng = random.Random(3)
     odd = ["", None, " ", "\n\n  x", "<|endoftext|>", "नमस्ते संसार", "a" * 5000, "it's  we'll\t42 ½ 👩‍🌾", "  x", "<|endoftext|> y"]

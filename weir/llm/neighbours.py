@@ -3,7 +3,9 @@
 Equal vectors are one class. The classes are indexed in balanced posting lists: centroids come from hierarchical balanced
 clustering of a bounded sample, vectors near a boundary are in several lists, and each vector searches the lists whose
 centroids are not much farther than its nearest one. Centroids are found by a beam search over their neighbour graph. All
-vectors are queries, list by list; long lists are worked off in tiles, so that no task holds a list of any length.
+vectors are queries. Lists that lie side by side in the clustering form a group: a vector is sent once to each group it
+searches or stands in, not once a list, and meets all the group holds. Long groups are worked off in tiles, so that no task
+holds a group of any length. `exact` sends every vector to every group, which is the whole comparison in blocks.
 
 Results: vectors that are null, of another length than their model's, not finite or all zero are left out, as are those of
 a model that isn't listed. Similarity is the cosine in double precision. Equal similarities are ordered by id; of equal
@@ -29,8 +31,8 @@ NEIGHBOURS, LIST, SAMPLE, CENTROIDS = 10, 160, 60_000, 8192
 EDGES, BEAM, ROUNDS = 14, 20, 5
 #: A vector is in the lists, and searches the lists, whose centroid is at most so many times as far as the nearest; and how many.
 POST_RATIO, POSTS, SEARCH_RATIO, SEARCHES = 1.15, 3, 1.60, 12
-#: Rows of a list that one task compares with others; parts a class's copies are spread over.
-TILE, SALTS = 4000, 16
+#: Lists in a group; rows of a group that one task compares with others; copies of a class that one task names.
+GROUP, TILE, COPIES = 12, 6000, 2000
 
 
 def usable(vectors: DataFrame, models: DataFrame) -> DataFrame:
@@ -110,13 +112,20 @@ class Index:
         order = np.argsort(-sims, axis=1, kind="stable")[:, :SEARCHES]
         return np.take_along_axis(beam, order, 1), np.maximum(2 - 2 * np.take_along_axis(sims, order, 1), 0)
 
-    def lists(self, x: np.ndarray) -> list[tuple[list[int], list[bool]]]:
-        """Of each vector the lists it searches, and which of them it is in."""
+    def groups(self, x: np.ndarray, exact: bool) -> list[tuple[list[int], list[bool]]]:
+        """Of each vector the groups it searches, and which of them it stands in."""
         found, distance = self.search(x)
         limit = distance[:, :1] + 1e-9
         searched = distance <= limit * SEARCH_RATIO
         posted = (distance <= limit * POST_RATIO) & (np.arange(found.shape[1]) < POSTS)
-        return [(f[s].tolist(), p[s].tolist()) for f, s, p in zip(found, searched, posted, strict=True)]
+        number = -(-len(self.centers) // GROUP)
+        asks, posts = np.zeros((len(x), number), bool), np.zeros((len(x), number), bool)
+        at = np.broadcast_to(np.arange(len(x))[:, None], found.shape)
+        asks[at[searched], found[searched] // GROUP] = True
+        posts[at[posted], found[posted] // GROUP] = True
+        if exact:
+            asks[:] = True
+        return [(np.flatnonzero(a).tolist(), p[a].tolist()) for a, p in zip(asks, posts, strict=True)]
 
 
 def fitted(classes: DataFrame) -> dict[str, Index]:
@@ -150,7 +159,7 @@ def compare(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, k)) for c, k in zip(out, kinds, strict=True)], names=names)
 
 
-def class_neighbours(classes: DataFrame) -> DataFrame:
+def class_neighbours(classes: DataFrame, exact: bool = False) -> DataFrame:
     """(class, other, similarity, place) of the classes (class, model, embedding)."""
     shared = classes.sparkSession.sparkContext.broadcast(fitted(classes))
 
@@ -163,7 +172,7 @@ def class_neighbours(classes: DataFrame) -> DataFrame:
                 rows = np.flatnonzero(models == model)
                 for begin in range(0, len(rows), 512):
                     part = rows[begin : begin + 512]
-                    for row, lists in zip(part, shared.value[model].lists(matrix(batch.column(2).take(pa.array(part)))), strict=True):
+                    for row, lists in zip(part, shared.value[model].groups(matrix(batch.column(2).take(pa.array(part))), exact), strict=True):
                         found[row] = lists
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([p for _, p in found], pa.list_(pa.bool_()))], names=["class", "model", "embedding", "lists", "posts"])
 
@@ -176,25 +185,27 @@ def class_neighbours(classes: DataFrame) -> DataFrame:
                     transform(sequence(0, tiles - 1), t -> named_struct('a', cast(t AS long), 'b', {tile}, 'post', false, 'ask', true))) END"""
     tiled = rows.join(tiles, ["model", "list"]).select("class", "model", "list", "embedding", F.explode(F.expr(keys)).alias("k")).select("class", "model", "list", "embedding", "k.a", "k.b", "k.post", "k.ask")
     near = tiled.groupBy("model", "list", "a", "b").applyInArrow(compare, "class long, other long, similarity double")
-    once = near.groupBy("class", "other").agg(F.max("similarity").alias("similarity"))
+    once = near.repartition("class").groupBy("class", "other").agg(F.max("similarity").alias("similarity"))
     place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("similarity"), "other"))
     return once.withColumn("place", place).filter(F.col("place") <= NEIGHBOURS)
 
 
-def neighbours(vectors: DataFrame, models: DataFrame) -> DataFrame:
-    """(id, neighbour, similarity, place) of every usable vector."""
+def neighbours(vectors: DataFrame, models: DataFrame, exact: bool = False) -> DataFrame:
+    """(id, neighbour, similarity, place) of every usable vector; with `exact` by comparing each with all others of its model."""
     fine = usable(vectors, models).withColumn("a", F.xxhash64("embedding")).withColumn("b", F.xxhash64(F.lit(1), "embedding"))
     keys = ["model", "a", "b"]
-    heads = fine.groupBy(*keys).agg(F.min("id").alias("class"))
-    members = cut(fine.select("id", *keys).join(heads, keys).select("id", "class"))
+    heads = fine.groupBy(*keys).agg(F.min("id").alias("class"), F.count("*").alias("copies"))
+    members = cut(fine.select("id", *keys).join(heads, keys).select("id", "class", F.ceil(F.col("copies") / COPIES).cast("int").alias("parts")))
     classes = cut(fine.join(heads.select(F.col("class").alias("id")), "id", "left_semi").select(F.col("id").alias("class"), "model", "embedding"))
-    near = class_neighbours(classes).select("class", "other", "similarity", "place")
+    near = class_neighbours(classes, exact).select("class", "other", "similarity", "place")
     first = members.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy("id"))).filter(F.col("rank") <= NEIGHBOURS + 1)
     own = classes.select("class", F.col("class").alias("other"), F.lit(1.0).alias("similarity"), F.lit(0).alias("place"))
     named = near.unionByName(own).join(first.select(F.col("class").alias("other"), F.col("id").alias("neighbour")), "other")
     short = named.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy("place", "neighbour"))).filter(F.col("rank") <= NEIGHBOURS + 1)
-    salted = short.select("class", "neighbour", "similarity", "rank", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    each = members.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(salted, ["class", "salt"]).filter("id <> neighbour")
+    # only a class of many copies is spread over several tasks
+    sizes = members.filter("parts > 1").groupBy("class").agg(F.max("parts").alias("parts"))
+    salted = short.join(sizes, "class", "left").select("class", "neighbour", "similarity", "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+    each = members.withColumn("salt", F.pmod("id", "parts").cast("int")).join(salted, ["class", "salt"]).filter("id <> neighbour")
     place = F.row_number().over(Window.partitionBy("id").orderBy("rank"))
     return each.withColumn("place", place).filter(F.col("place") <= NEIGHBOURS).select("id", "neighbour", "similarity", "place")
 
