@@ -316,12 +316,22 @@ def test_knapsack_is_exact():
         assert (taken <= counts).all() and int((taken * sizes).sum()) == max(sums)
 
 
+def test_languages_of_words_whose_declarations_are_partly_wrong():
+    rng = random.Random(12)
+    made = {"en": "the ward board said that water for the town is clean and was tested", "de": "der Rat sagte dass das Wasser der Stadt sauber ist und wurde geprüft", "ne-latn": "wada karyalaya le pani ko barema suchana prakashan gareko chha", "ne": "वडा कार्यालयले पानीको बारेमा सूचना प्रकाशन गरेको छ", "hi": "वार्ड कार्यालय ने पानी के बारे में सूचना प्रकाशित की है"}
+    texts = [(name, rng.choices(reading.words_of(text), k=12)) for name, text in made.items() for _ in range(60)]
+    declared = [(words, rng.choice(["en", "de", "hi"]) if rng.random() < 0.1 else name[:2]) for name, words in texts]
+    tongues = reading.Languages(declared)
+    assert sum(tongues.of(words) == name for name, words in texts) >= 0.97 * len(texts)
+    assert tongues.of([]) is None and tongues.of(["qqq"]) is None
+
+
 def test_reading(spark):
     rng = random.Random(8)
     vocabulary = {g: [f"{'abcdefgh'[g]}{a}{b}" for a in "klmnp" for b in "rstvw"] for g in (1, 2, 3, 4)}
     text = lambda g: " ".join(["the", "of"] * 5 + [rng.choice(vocabulary[g] if rng.random() < 0.85 else vocabulary[rng.randrange(1, 5)]) for _ in range(60)])
     truth = {k: 1 + k % 4 for k in range(300)}
-    docs = spark.createDataFrame([(k, text(g)) for k, g in truth.items()] + [(900, None), (901, ""), (902, "zz yy")], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, text(g), None if k % 9 == 0 else "en") for k, g in truth.items()] + [(900, None, "en"), (901, "", "ne"), (902, "zz yy", None)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(k, "g", truth[k]) for k in range(200)] + [(0, "h", 2)], "doc_id long, grader string, grade_level int")
     got = {r["doc_id"]: r["grade_level"] for r in reading.found(docs, labels).collect()}
     assert set(got) == set(range(200, 300)) and sum(got[k] == truth[k] for k in got) >= 95

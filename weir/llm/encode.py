@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from weir.llm.tokens import NAME, SPLIT, encoder, token_bytes
 from weir.session import cut, spread
 
-#: Characters and documents a block has at most (but one document at least); parts a common word's rows are spread over.
-BLOCK_CHARS, BLOCK_DOCS, SALTS = 400_000, 1000, 4
+#: Characters and documents a block has at most (but one document at least); blocks of one word that meet in one task, about.
+BLOCK_CHARS, BLOCK_DOCS, TOGETHER = 400_000, 1000, 2000
 
 BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32())), ("words", pa.list_(pa.string()))])
 
@@ -88,8 +88,12 @@ def encoded(documents: DataFrame, name: str = NAME, folder: str | None = None) -
     blocks = cut(spread(documents.select("doc_id", "text")).mapInArrow(block_batches, schema))
     words = blocks.select("block", F.posexplode("words").alias("code", "word"))
     once = words.select("word").distinct().mapInArrow(lambda batches: encode_batches(batches, name, folder), "word string, ids array<int>")
-    salted = once.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = words.withColumn("salt", F.pmod("block", F.lit(SALTS)).cast("int")).join(salted, ["word", "salt"])
+    salts = -(-blocks.count() // TOGETHER)
+    if salts > 1:  # a word stands in a block at most once, so parts of the blocks bound what meets of it; it is sent only to the parts it stands in
+        words = words.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+        joined = words.join(words.select("word", "salt").distinct().join(once, "word"), ["word", "salt"])
+    else:
+        joined = words.join(once, "word")
     lists = joined.groupBy("block").agg(F.collect_list(F.struct("code", "ids")).alias("found"))
     whole = blocks.select("block", "docs", "sizes", "codes").join(lists, "block", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<code:int,ids:array<int>>>")))
     return whole.select("docs", "sizes", "codes", "found").mapInArrow(join_batches, "doc_id long, ids array<int>")

@@ -124,7 +124,7 @@ def targets_with_budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
     has = sized.groupBy("source").agg(F.sum("tokens").alias("available"), F.count("*").alias("documents"))
     total = has.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total")).scalar()
     joined = targets.join(has, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    return joined.withColumn("budget", F.col("target_share") * total).withColumn("short", F.col("available") * F.col("max_repeats") < F.col("budget"))
+    return joined.withColumn("budget", F.col("target_share") * total)
 
 
 def mixture(documents: DataFrame, targets: DataFrame, name: str = NAME, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +136,9 @@ def mixture(documents: DataFrame, targets: DataFrame, name: str = NAME, folder:
     plan = cut(histogram.groupBy("source").applyInPandas(lambda rows: plan_source(rows.sort_values(["tokens", "salt"])), "source string, tokens long, salt int, n long, rounds int, extra long"))
     ranked = sized.join(plan, ["source", "tokens", "salt"]).withColumn("place", F.row_number().over(Window.partitionBy("source", "tokens", "salt").orderBy("position", "doc_id")))
     used = ranked.withColumn("uses", F.col("rounds") + (F.col("place") <= F.col("extra")).cast("int")).filter("uses > 0")
-    reached = plan.groupBy("source").agg(F.sum(F.expr("tokens * (n * rounds + extra)")).alias("reached"))
+    reached = plan.groupBy("source").agg(F.sum(F.expr("tokens * (n * rounds + extra)")).alias("reached"), F.max("rounds").alias("rounds"))
+    # what the plan couldn't fill although every document is used as often as it may be
+    short = (F.coalesce("rounds", "max_repeats") >= F.col("max_repeats")) & (F.coalesce("reached", F.lit(0)) < F.col("budget"))
     whole = reached.agg(F.sum("reached").alias("whole")).scalar()
-    report = budgets.join(reached, "source", "left").select("source", "target_share", "max_repeats", "available", "budget", F.coalesce("reached", F.lit(0)).alias("reached"), F.coalesce(F.col("reached") / whole, F.lit(0.0)).alias("reached_share"), "short")
+    report = budgets.join(reached, "source", "left").select("source", "target_share", "max_repeats", "available", "budget", F.coalesce("reached", F.lit(0)).alias("reached"), F.coalesce(F.col("reached") / whole, F.lit(0.0)).alias("reached_share"), short.alias("short"))
     return used.select("doc_id", "source", "tokens", "uses"), report

@@ -4,6 +4,9 @@ From the graded documents each word gets the grade at which it is acquired: the
 for how much text a grade has, gives the grade by which half of its use is reached. A document is described by quantiles
 of the grades of its known words; a small ordinal calibration, fitted on the graded documents, turns them into a level.
 
+Which language a text is in is told by the words it has: each word's share in the texts of each declared language, counted on a
+bounded sample whose declarations may be missing or wrong here and there, compared among the languages of the text's script.
+
 Results: null, empty and blank texts, and texts without a known word, have a null level. Documents in other languages get a
 level as far as their words are known; `language` says which they are in by their text. Two grades of one document both
 count. Words of equal grade are interchangeable; repeated texts get the same level; very long texts are read whole.
@@ -35,16 +38,10 @@ LEAST_WORDS = 40
 GRADES = 4
 
 EDGE = regex.compile(r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$")
-# Common words by which a text's language is told.
-COMMON = {
-    "en": "the of and to in is was for with that by at on it this are from were has have be an not we can will which as she he my our see who may must said",
-    "de": "der die das und den dem des für mit von nicht ist sind ein eine wurden wurde im auf zu bei nach bis vor etwa laut ihre über",
-    "ne-latn": "ko ka ki le lai ma ra chha chhan haru bata samma hunchha garyo gareka gareko thiyo bhayeko sambandhi diyo hinde anusar mageka lagi sakinchha",
-    "ne": "छ छन् गरेको गरिएको थियो भएको र मा लागि हुन् गरे गरेका पर्ने यो आज म भने भएका हो तथा हुने गर्दछ गर्नुपर्नेछ सम्म देखि छैन मेरी हामीले कहाँ गर्ने रही",
-    "hi": "है हैं में के की का को और से पर ने था थे लिए यह नहीं एक गया किया तक हुए रखे जा सकता लेते आए दिया कर",
-}
-DEVANAGARI = {"ne", "hi"}
-LANGUAGE_OF = [(lang, set(words.split())) for lang, words in COMMON.items()]
+#: Documents the words of languages are counted on at most; how often a word stands in them at least.
+LANGUAGE_DOCUMENTS, LANGUAGE_USES = 12_000, 3
+#: What is declared and in which script, and what it is called here: Nepali in Latin letters is a language of its own.
+SPOKEN = {("en", False): "en", ("de", False): "de", ("ne", False): "ne-latn", ("ne", True): "ne", ("hi", True): "hi"}
 
 
 def words_of(text: str) -> list[str]:
@@ -52,12 +49,45 @@ def words_of(text: str) -> list[str]:
     return [w for w in (EDGE.sub("", p) if not p.isalpha() else p for p in text.lower().split()) if w and not w.isdigit()]
 
 
-def language(words: list[str]) -> str | None:
-    """The language, of the script most words are in, whose common words a text has most of; null if it has none."""
-    counts = Counter(words)
-    devanagari = 2 * sum(n for w, n in counts.items() if "ऀ" <= w[0] <= "ॿ") > len(words)
-    best = max(((sum(counts[w] for w in common), lang) for lang, common in LANGUAGE_OF if (lang in DEVANAGARI) == devanagari), key=lambda x: x[0])
-    return best[1] if best[0] else None
+def in_devanagari(words: list[str]) -> bool:
+    return 2 * sum("ऀ" <= w[0] <= "ॿ" for w in words) > len(words)
+
+
+class Languages:
+    """How likely each known word is in each language, apart for the two scripts."""
+
+    def __init__(self, texts: list[tuple[list[str], str]]):
+        self.names = {script: [name for (_, s), name in SPOKEN.items() if s == script] for script in (False, True)}
+        counts: dict[bool, list[Counter]] = {script: [Counter() for _ in names] for script, names in self.names.items()}
+        for words, declared in texts:
+            script = in_devanagari(words)
+            name = SPOKEN.get((declared, script))
+            if name is not None:
+                counts[script][self.names[script].index(name)].update(words)
+        self.known: dict[bool, dict[str, int]] = {}
+        self.logs: dict[bool, np.ndarray] = {}
+        for script, each in counts.items():
+            uses = sum(each, Counter())
+            self.known[script] = {w: k for k, w in enumerate(sorted(w for w, n in uses.items() if n >= LANGUAGE_USES))}
+            size = [max(sum(c.values()), 1) for c in each]
+            table = np.array([[(c[w] + 0.5) / (n + 0.5) for c, n in zip(each, size, strict=True)] for w in self.known[script]]).reshape(-1, len(each))
+            self.logs[script] = np.log(table)
+
+    def of(self, words: list[str]) -> str | None:
+        """The likeliest language of the script most words are in; null without a known word."""
+        if not words:
+            return None
+        script = in_devanagari(words)
+        get = self.known[script].get
+        found = [k for w in words if (k := get(w)) is not None]
+        return self.names[script][int(self.logs[script][found].sum(0).argmax())] if found else None
+
+
+def spoken(documents: DataFrame) -> Languages:
+    """Counted on documents that declare one of the languages, those with the smallest hash of their id."""
+    declared = documents.select("doc_id", "text", F.lower("lang").alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isin("en", "de", "ne", "hi"))
+    rows = sampled(declared, "doc_id", LANGUAGE_DOCUMENTS, declared.count()).collect()
+    return Languages([(words_of(r["text"]), r["lang"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
 class Grader:
@@ -131,16 +161,16 @@ def fitted(documents: DataFrame, labels: DataFrame) -> Grader:
 
 def graded(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, words, language, level, confidence) of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(fitted(documents, labels))
+    shared = documents.sparkSession.sparkContext.broadcast((fitted(documents, labels), spoken(documents)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grader = shared.value
+        grader, tongues = shared.value
         for batch in batches:
             counts, languages, rows, known = [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 words = words_of(text or "")
                 counts.append(len((text or "").split()))
-                languages.append(language(words))
+                languages.append(tongues.of(words))
                 if (row := grader.describe(words)) is not None:
                     rows.append(row)
                     known.append(k)
