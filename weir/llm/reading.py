@@ -69,8 +69,10 @@ class Languages:
         for script, each in counts.items():
             uses = sum(each, Counter())
             self.known[script] = {w: k for k, w in enumerate(sorted(w for w, n in uses.items() if n >= LANGUAGE_USES))}
-            size = [max(sum(c.values()), 1) for c in each]
-            table = np.array([[(c[w] + 0.5) / (n + 0.5) for c, n in zip(each, size, strict=True)] for w in self.known[script]]).reshape(-1, len(each))
+            size = [sum(c.values()) for c in each]
+            unseen = 0.5 * max(len(self.known[script]), 1)
+            # a language nothing is declared in is never the likeliest
+            table = np.array([[(c[w] + 0.5) / (n + unseen) if n else 1e-30 for c, n in zip(each, size, strict=True)] for w in self.known[script]]).reshape(-1, len(each))
             self.logs[script] = np.log(table)
 
     def of(self, words: list[str]) -> str | None:
