@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weir.functions import pages as html
 from weir.functions.text import detected_language, tokens
-from weir.operators import ann, frontier, keyed, near, places, rank
+from weir.operators import ann, frontier, keyed, near, places, rank, search
 
 
 def rows(df, *names):
@@ -59,6 +59,41 @@ def test_near_pairs_lose_none(spark):
     assert classes[100] == classes[101] == classes[0] and len(classes) == len(values) + 2
 
 
+def test_search_over_fields_with_nulls_misspelt_words_and_no_hits(spark):
+    docs = spark.createDataFrame([(1, "Water board", "the water is clean"), (2, None, "bored of watter"), (3, "", None), (4, "School", "meals meals"), (5, "x", "water " * 5000)], "id long, title string, text string")
+    index = search.Index(docs, "id", ["title", "text"])
+    got = {r["id"]: r["score"] for r in index.search(spark, ["water bord", "nothing"], {"title": 3.0, "text": 1.0}).collect()}
+    assert set(got) == {1, 2, 5} and got[1] > got[5] > 0
+    assert search.Index(docs.limit(0), "id", ["title", "text"]).search(spark, ["water"], {"title": 1.0, "text": 1.0}).count() == 0
+
+
+def test_merged_candidates_features_and_stable_order(spark):
+    a = spark.createDataFrame([(1, 2.0, None), (2, None, "")], "id long, bm25_score double, title string")
+    b = spark.createDataFrame([(1, 0.5, "t"), (3, 0.1, "u")], "id long, vector_score double, title string")
+    got = {r["id"]: (r["bm25_score"], r["vector_score"], r["title"], r["sources"]) for r in search.merged({"lexical": a, "dense": b}, "id", ["bm25_score", "vector_score"], ["title"]).collect()}
+    assert got == {1: (2.0, 0.5, "t", ["dense", "lexical"]), 2: (0.0, 0.0, None, ["lexical"]), 3: (0.0, 0.1, "u", ["dense"])}
+    rows_ = spark.createDataFrame([(1, "Water plan", None, "en", None, float("nan"), None, None, 1), (2, None, "water", None, None, 1.0, float("inf"), 7, 2), (3, None, None, "en", None, None, None, None, 3)], "id long, title string, text string, language string, published_at timestamp_ntz, bm25_score double, vector_score double, content_length long, before int")
+    now = F.lit("2024-01-01").cast("timestamp_ntz")
+    made = {r["id"]: r for r in search.with_features(rows_, "water plan", "en", now).collect()}
+    assert (made[1]["f_bm25_score"], made[1]["f_query_term_ratio"], made[1]["f_title_match"], made[2]["f_vector_score"], made[2]["f_query_term_ratio"], made[3]["f_freshness"]) == (0.0, 1.0, 1.0, 0.0, 0.5, 0.0)
+    same = search.reranked(search.with_features(rows_, "water plan", None, now), "id", lambda f: f["language_match"], "before")
+    assert rows(same, "id", "place") == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_state_of_queues_quarantine_maps_and_clicks(spark):
+    q = spark.createDataFrame([(1, "PROCESSING"), (2, "PROCESSING"), (3, "UNPROCESSED"), (4, "PROCESSING")], "id long, status string")
+    r = spark.createDataFrame([(1, None), (2, "bad"), (3, "bad"), (2, None)], "id long, error string")
+    assert rows(keyed.finished(q, r), "id", "status", "error") == [(1, "PROCESSED", None), (2, "FAILED", "bad"), (3, "UNPROCESSED", None), (4, "PROCESSING", None)]
+    bad = spark.createDataFrame([(1, "s"), (2, "s"), (3, None)], "id long, sig string")
+    records, parked, kept = keyed.quarantined(bad, "sig", spark.createDataFrame([(2,), (9,), (9,)], "id long"), "id")
+    assert rows(records, "sig", "id", "times") == [("s", 2, 2)] and parked.count() == 3 and rows(kept, "id") == [(9,), (9,)]
+    assert {x["g"]: x["v"] for x in keyed.count_maps(spark.createDataFrame([(1, "a"), (1, "a"), (1, "b")], "g int, v string"), ["g"], "v").collect()} == {1: {"a": 2, "b": 1}}
+    asked = spark.sql("SELECT * FROM VALUES (1, 7, TIMESTAMP_NTZ'2024-01-01 00:00:00'), (2, 7, TIMESTAMP_NTZ'2024-01-01 00:29:00'), (3, 8, TIMESTAMP_NTZ'2024-01-01 00:00:00') AS t(id, k, at)")
+    clicks = spark.sql("SELECT * FROM VALUES (7, TIMESTAMP_NTZ'2024-01-01 00:29:59'), (7, TIMESTAMP_NTZ'2024-01-01 00:30:00'), (9, TIMESTAMP_NTZ'2024-01-01 00:00:00') AS t(k, then)")
+    assert rows(keyed.followed(asked, clicks, "id", "k", "at", "then", 1800), "id", "n") == [(1, 1), (2, 2), (3, 0)]
+    assert keyed.followed(asked.limit(0), clicks, "id", "k", "at", "then", 1800).count() == 0
+
+
 def test_folding_is_that_of_rows_in_order(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(6)]

@@ -1,13 +1,15 @@
 """Near-duplicates by fingerprints of 64 bits.
 
-Equal fingerprints are one class before anything is compared, so copies are never expanded into pairs. Fingerprints at most
-three bits apart agree in one of four bands of 16 bits (pigeonhole), so the join by bands loses no pair.
+Equal fingerprints are one class before anything is compared, so copies are never expanded into pairs. A fingerprint is cut
+into six blocks; three bits can spoil three of them, so fingerprints at most three bits apart agree in some three blocks
+(pigeonhole). The join by the 20 choices of three blocks, 31 to 33 bits each, loses no pair and keeps its buckets small.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,10 @@ from pyspark.sql import functions as F
 from weir.functions.text import tokens
 from weir.session import cut, spread
 
-BANDS, BITS = 4, 3
+BITS = 3
+#: Where the blocks begin, and how wide they are.
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+CHOICES = list(combinations(range(len(BLOCKS)), len(BLOCKS) - BITS))
 
 
 def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,15 +53,15 @@ def simhash(df: DataFrame, id: str, text: str) -> DataFrame:
 def near_pairs(hashed: DataFrame, id: str, simhash: str) -> DataFrame:
     """(a, b, distance, copies_a, copies_b): pairs of different fingerprints by the lowest id of each, a < b."""
     heads = cut(hashed.groupBy(simhash).agg(F.min(id).alias("head"), F.count("*").alias("copies")).withColumnRenamed(simhash, "h"))
-    shifts = [F.shiftrightunsigned(F.col("h"), 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(BANDS)]
-    banded = heads.select("h", "head", "copies", F.posexplode(F.array(*shifts)).alias("band", "value"))
+    block = lambda c, k: F.shiftrightunsigned(c, BLOCKS[k][0]).bitwiseAND(F.lit((1 << BLOCKS[k][1]) - 1))
+    keys = [F.xxhash64(F.lit(n), *[block(F.col("h"), k) for k in choice]) for n, choice in enumerate(CHOICES)]
+    banded = heads.select("h", "head", "copies", F.posexplode(F.array(*keys)).alias("band", "value"))
     other = banded.select("band", "value", *[F.col(c).alias(f"{c}_b") for c in ("h", "head", "copies")])
-    distance = F.bit_count(F.col("h").bitwiseXOR(F.col("h_b")))
-    joined = banded.join(other, ["band", "value"]).filter((F.col("head") < F.col("head_b")) & (distance <= BITS))
-    # a pair that agrees in several bands is kept in the first of them
-    agrees = [F.shiftrightunsigned(F.col("h").bitwiseXOR(F.col("h_b")), 16 * k).bitwiseAND(F.lit(0xFFFF)) == 0 for k in range(BANDS)]
-    first = F.coalesce(*[F.when(agrees[k], k) for k in range(BANDS)])
-    return joined.filter(first == F.col("band")).select(F.col("head").alias("a"), F.col("head_b").alias("b"), distance.cast("int").alias("distance"), F.col("copies").alias("copies_a"), F.col("copies_b").alias("copies_b"))
+    apart = F.col("h").bitwiseXOR(F.col("h_b"))
+    joined = banded.join(other, ["band", "value"]).filter((F.col("head") < F.col("head_b")) & (F.bit_count(apart) <= BITS))
+    # a pair that agrees in several choices of blocks is kept in the first of them
+    first = F.coalesce(*[F.when(sum((block(apart, k) for k in choice[1:]), block(apart, choice[0])) == 0, n) for n, choice in enumerate(CHOICES)])
+    return joined.filter(first == F.col("band")).select(F.col("head").alias("a"), F.col("head_b").alias("b"), F.bit_count(apart).cast("int").alias("distance"), F.col("copies").alias("copies_a"), F.col("copies_b").alias("copies_b"))
 
 
 def checksum(edges: DataFrame) -> tuple:
