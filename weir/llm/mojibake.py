@@ -4,7 +4,7 @@ Adjacent pairs of characters are scored by their mutual information in the corpu
 byte sequence of another encoding), improbable runs are isolated as maximum-scoring segments, and only inside those
 runs the inverse mappings of the usual single-byte encodings are tried, again and again for text that was decoded
 wrongly more than once. A mapping is accepted only if it makes the run likelier: the mean mutual information of its pairs
-must rise by `GAIN`, so that Cyrillic or Greek words whose letters happen to spell byte sequences stay as they are.
+must rise by `GAIN` (or another run of the field shows the same encoding, or the corpus knows none of the characters it yields), so that Cyrillic or Greek words whose letters happen to spell byte sequences stay as they are.
 
 Results: null and empty fields are never affected. Where bytes are gone (replacement characters, runs of question
 marks) the field is affected and `restored` is false; `repaired` then holds what could be had. Very long fields are
@@ -14,6 +14,7 @@ scored whole. Ties between encodings go to the one named first in `ENCODINGS`.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +26,8 @@ from weir.llm.common import code_points, mix64, pieces, total_of
 
 #: Encodings in which UTF-8 is most often misread, the likelier first.
 ENCODINGS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251", "cp850", "cp1250", "iso8859-15", "koi8-r", "cp866")
-#: Slots of the hashed table of pairs, and of that of single characters: fixed, whatever the corpus.
-PAIR_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 14
+#: Slots of the hashed table of pairs, and of that of single characters (cut to 16 bits): fixed, whatever the corpus.
+PAIR_SLOTS, CHAR_SLOTS = 1 << 18, 1 << 16
 #: Shares of the corpus below which a pair, and a character, counts as if it had this share.
 PAIR_FLOOR, CHAR_FLOOR = 1e-8, 1e-3
 #: Mutual information (bits) below which a pair adds to a run; above it, it takes from it. And the most a pair takes.
@@ -153,7 +154,7 @@ def spelled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = np.arange(1 << 16, dtype=np.uint64)
     x = np.where((x >= 48) & (x <= 57), 48, np.where((x >= 0x966) & (x <= 0x96F), 0x966, x)).astype(np.uint64)
     first, second = mix64(x), mix64(x + np.uint64(1 << 20))
-    return (first & np.uint64(PAIR_SLOTS - 1)).astype(np.int32), (second & np.uint64(PAIR_SLOTS - 1)).astype(np.int32), (mix64(x) >> np.uint64(40) & np.uint64(CHAR_SLOTS - 1)).astype(np.int32)
+    return (first & np.uint64(PAIR_SLOTS - 1)).astype(np.int32), (second & np.uint64(PAIR_SLOTS - 1)).astype(np.int32), x.astype(np.int32)
 
 
 def slots(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,6 +212,31 @@ class Repairer:
         pair, char = slots(code_points([text])[0])
         return float((self.pairs[pair] - self.chars[char[:-1]] - self.chars[char[1:]]).mean()) if len(pair) else 0.0
 
+    def tried(self, text: str, low: int, high: int) -> tuple[str, list[str], float, bool]:
+        """A run with the best inverse mappings applied, which, by how many bits a pair its mean mutual information rises, and whether all beyond ASCII is explained."""
+        run = own = text[low:high]
+        found: list[str] = []
+        whole = False
+        for turn in range(ROUNDS):
+            own, name, done = undo(own)
+            if name is None:
+                break
+            found.append(name)
+            if turn == 0:
+                whole = done >= sum(not c.isascii() for c in run)
+        if not found:
+            return run, found, 0.0, whole
+        before, after = text[max(low - 1, 0) : low] or "\n", text[high : high + 1] or "\n"
+        return own, found, self.information(before + own + after) - self.information(before + run + after), whole
+
+    def foreign(self, text: str) -> bool:
+        """Whether the corpus lacks some of the characters beyond ASCII, so that it can't judge them, and all are punctuation or letters of one script, Latin beside ASCII letters."""
+        beyond = [c for c in text if not c.isascii()]
+        scripts = {unicodedata.name(c, "?").split(" ")[0] for c in beyond if unicodedata.category(c)[0] in "LM"} | {"LATIN" for c in text if c.isascii() and c.isalpha()}
+        if not beyond or len(scripts) > 1 or any(unicodedata.category(c)[0] not in "LMP" for c in beyond):
+            return False
+        return bool((self.chars[slots(code_points(["".join(beyond)])[0])[1]] <= np.float32(np.log2(CHAR_FLOOR)) + 1e-3).any())
+
     def field(self, text: str, scores: np.ndarray) -> tuple[bool, bool, str, str | None]:
         """Of a field with its pairs' scores (the first is of the mark before it): affected, restored, repaired, encodings."""
         runs = []
@@ -226,16 +252,11 @@ class Repairer:
                 runs.append((low, high))
         affected, lost, names, parts, at = False, False, [], [], 0
         marks = text.count("?") >= LOST_MARKS
-        for low, high in runs:
+        undone = [self.tried(text, low, high) for low, high in runs]
+        sure = {found[0] for _, found, gain, _ in undone if found and gain >= GAIN}
+        for (low, high), (own, found, gain, whole) in zip(runs, undone, strict=True):
             run = text[low:high]
-            before, after = text[max(low - 1, 0) : low] or "\n", text[high : high + 1] or "\n"
-            own, found = run, []
-            for _ in range(ROUNDS):
-                own, name, _ = undo(own)
-                if name is None:
-                    break
-                found.append(name)
-            if found and self.information(before + own + after) >= self.information(before + run + after) + GAIN:
+            if found and (gain >= GAIN or whole and (found[0] in sure or self.foreign(own))):  # what one run shows of a field's encoding holds for its others
                 run, affected = own, True
                 names += [name for name in found if name not in names]
             if "�" in run or marks and re.search(r"(?:^|\s)\?\?", text[max(low - 1, 0) : high]):
