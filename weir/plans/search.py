@@ -11,6 +11,10 @@ from weir.plans.registry import query
 from weir.sources.tables import table
 
 WORDS_SQL = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_\\x{{0900}}-\\x{{097F}}]+')"
+# DuckDB's edit distance counts bytes: letters of Devanagari are put into one byte each that no token holds
+LETTERS = "".join(chr(c) for c in range(0x901, 0x958) if c not in (0x904, 0x90C, 0x90D, 0x90E))
+BYTES = "".join(c for c in map(chr, range(1, 127)) if not (c.isdigit() or c.islower() or c in "'`_ {}"))[: len(LETTERS)]
+EDITS_SQL = f"levenshtein(translate(word, '{LETTERS}', '{BYTES}'), translate(term, '{LETTERS}', '{BYTES}'))"
 VARIANTS = ["water bord", "school meals", "खानेपानी"]
 BOOSTS = {"title": 3.0, "text": 1.0}
 
@@ -19,7 +23,7 @@ BOOSTS = {"title": 3.0, "text": 1.0}
     d AS (SELECT doc_id, field, t, len(t) AS length FROM f WHERE len(t) > 0), st AS (SELECT field, count(*) AS n, avg(length) AS mean FROM d GROUP BY field),
     po AS (SELECT field, term, doc_id, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, field, length, unnest(t) AS term FROM d) GROUP BY ALL), df AS (SELECT field, term, count(*) AS df FROM po GROUP BY ALL),
     v AS (SELECT term, sum(df) AS uses FROM df GROUP BY term), a AS (SELECT * FROM (VALUES (0, 'water'), (0, 'bord'), (1, 'school'), (1, 'meals'), (2, 'खानेपानी')) x(variant, word)),
-    x AS (SELECT word, term, uses, edits AS d FROM (SELECT DISTINCT word FROM a) w, LATERAL (SELECT term, uses, levenshtein(word, term) AS edits FROM v WHERE left(term, 1) = left(word, 1)) WHERE edits <= CASE WHEN length(word) < 3 THEN 0 WHEN length(word) < 6 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY word ORDER BY d, uses DESC, term) <= 20),
+    x AS (SELECT word, term, uses, edits AS d FROM (SELECT DISTINCT word FROM a) w, LATERAL (SELECT term, uses, {EDITS_SQL} AS edits FROM v WHERE left(term, 1) = left(word, 1)) WHERE edits <= CASE WHEN length(word) < 3 THEN 0 WHEN length(word) < 6 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY word ORDER BY d, uses DESC, term) <= 20),
     w AS (SELECT po.doc_id, a.variant, po.field, a.word, max(CASE po.field WHEN 'title' THEN 3.0 ELSE 1.0 END * (1 - d / least(length(a.word), length(x.term))::DOUBLE) * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * po.length / mean))) AS s
         FROM a JOIN x USING (word) JOIN po ON po.term = x.term JOIN df ON df.field = po.field AND df.term = po.term JOIN st ON st.field = po.field GROUP BY ALL),
     b AS (SELECT doc_id, variant, max(s) AS s FROM (SELECT doc_id, variant, field, sum(s) AS s FROM w GROUP BY ALL) GROUP BY ALL)
