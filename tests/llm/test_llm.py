@@ -288,6 +288,21 @@ def test_encoding_round_trip_and_reference(spark):
     assert encode.encoded(df.limit(0)).count() == 0
 
 
+def test_encoding_holds_no_more_than_a_block(spark):
+    texts = [f"the same words of every text and number {k} of them" if k % 7 else None for k in range(2600)]  # several blocks
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")  # blocks end within batches and go over many
+        out = encode.encoded(df)
+        got = {r["doc_id"]: r["ids"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    enc = tokens.encoder()
+    assert got == {k: enc.encode_ordinary(t or "") for k, t in enumerate(texts)}
+    assert "collect_list" not in out._jdf.queryExecution().toString()  # lists of whole blocks would lie in the heap, many at once
+
+
 def test_mixture(spark):
     rng = random.Random(6)
     rows = [(k, rng.choice(["a", "b", "c", None]), " ".join(rng.choice(["water", "road", "tax"]) for _ in range(rng.randrange(1, 60)))) for k in range(600)] + [(900, "a", None), (901, "a", ""), (902, "tiny", "one two")]
