@@ -59,6 +59,11 @@ def test_near_pairs_lose_none(spark):
     assert classes[100] == classes[101] == classes[0] and len(classes) == len(values) + 2
 
 
+def test_near_pairs_broadcast_no_choices_of_blocks(spark):
+    df = spark.range(500).select("id", F.xxhash64("id").alias("h"))
+    assert "BroadcastHashJoin" not in near.near_pairs(df, "id", "h")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_search_over_fields_with_nulls_misspelt_words_and_no_hits(spark):
     docs = spark.createDataFrame([(1, "Water board", "the water is clean"), (2, None, "bored of watter"), (3, "", None), (4, "School", "meals meals"), (5, "x", "water " * 5000)], "id long, title string, text string")
     index = search.Index(docs, "id", ["title", "text"])

@@ -58,7 +58,8 @@ def near_pairs(hashed: DataFrame, id: str, simhash: str) -> DataFrame:
     banded = heads.select("h", "head", "copies", F.posexplode(F.array(*keys)).alias("band", "value"))
     other = banded.select("band", "value", *[F.col(c).alias(f"{c}_b") for c in ("h", "head", "copies")])
     apart = F.col("h").bitwiseXOR(F.col("h_b"))
-    joined = banded.join(other, ["band", "value"]).filter((F.col("head") < F.col("head_b")) & (F.bit_count(apart) <= BITS))
+    # a table of few bytes is twenty times as large once spread over the choices, which the planner doesn't see: it must not be broadcast
+    joined = banded.hint("merge").join(other.hint("merge"), ["band", "value"]).filter((F.col("head") < F.col("head_b")) & (F.bit_count(apart) <= BITS))
     # a pair that agrees in several choices of blocks is kept in the first of them
     first = F.coalesce(*[F.when(sum((block(apart, k) for k in choice[1:]), block(apart, choice[0])) == 0, n) for n, choice in enumerate(CHOICES)])
     return joined.filter(first == F.col("band")).select(F.col("head").alias("a"), F.col("head_b").alias("b"), F.bit_count(apart).cast("int").alias("distance"), F.col("copies").alias("copies_a"), F.col("copies_b").alias("copies_b"))
