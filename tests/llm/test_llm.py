@@ -5,6 +5,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,32 @@ def test_the_corpus_teaches_notices(spark):
     assert {r["id"] for r in residue.excluded(df).collect()} == {*range(1000, 1005), *range(2000, 2005)}
 
 
+def many_taught(spark):
+    """Pages of which 4,500 lines stand on more pages without content than the lines of one notice, of two hosts each."""
+    notice = "Zulassung qwv brelm tordak\nhinwo skal prentu vokk ilra"
+    listed = ["\n".join(f"{word} blatt {k}x{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)) for word in ("".join(random.Random(j).choices("bdfgklmnprst", k=7)) for j in range(15))]
+    texts = prose(1000) + [t for t in listed for _ in range(6)] + [notice] * 4
+    return texts, pages(spark, texts).withColumn("host", F.concat(F.lit("h"), F.col("id") % 2))
+
+
+def test_every_window_of_the_corpus_teaches(spark):
+    texts, df = many_taught(spark)
+    taught = {r["window"]: r["n"] for r in residue.learned(df.filter("text IS NOT NULL").select("text", "host")).collect()}
+    assert len(taught) > 4000 and all(taught[w] == 4 for w in residue.windows(texts[-1]))
+    got = {r["id"] for r in residue.excluded(df).collect()}
+    assert set(range(len(texts) - 4, len(texts))) <= got and not got & set(range(1000))
+
+
+def test_windows_the_filter_lets_pass_wrongly_count_as_prose(spark):
+    groups = [PROSE[0].lower(), PROSE[1].lower(), "fill in {{ name }} below"]
+    whole = residue.prose_counts(groups)
+    assert whole.sum() and (residue.prose_counts(groups, np.array([3, 3, 3])) == 3 * whole).all()
+    every = list(residue.count_batches([pa.RecordBatch.from_pydict({"text": ["\n".join(PROSE[:2])], "host": ["h"]})], np.full(residue.FILTER // 64, -1)))
+    assert {r["written"] for r in every[0].to_pylist()} == {w.lower().replace("12", "0").replace("5th", "0th") for w in PROSE[:2]}
+    missed = list(residue.missed_batches([pa.RecordBatch.from_pydict({"written": ["\n".join(PROSE[:1]).lower()], "n": [2]})]))[0]
+    assert missed.column(1).to_numpy().sum() == 2 * (len(PROSE[0]) + 1)
+
+
 def test_unify(spark):
     cases = {"café": "café", "Ｈｅａｌｔｈ": "Health", "thе соmmunіtу": "the community", "Добро": "Добро", "ofﬁce": "office", "गर्‍यो": "गर्‍यो", "👨‍👩‍👧 ❤️": "👨‍👩‍👧 ❤️", "a b​": "a b", "“It’s” – …": "“It’s” – …", "फ़": unicodedata.normalize("NFC", "फ़"), "": "", "﷐x": "x"}
     df = spark.createDataFrame([(k, "text", t) for k, t in enumerate([*cases, None])], "id long, field string, stored string")

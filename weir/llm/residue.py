@@ -14,6 +14,7 @@ scored whole, window by window.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weir.llm.common import code_points, mix64, pieces, total_of
 from weir.llm.plain import plain
-from weir.session import spread
+from weir.session import cut, spread
 
 #: Characters in a gram; slots of the hashed tables.
 GRAM, SLOTS = 5, 1 << 17
@@ -39,8 +40,8 @@ LEAST_HOLE = 8.0
 DOUBT = -2.0
 #: Words of a sentence that counts as content; words a sentence of a long line has about, and such sentences on a page with content.
 SENTENCE_WORDS, LONG_WORDS, CONTENT = 5, 8, 4
-#: Windows of pages without content the corpus teaches residue and furniture by at most, those on most pages; pages each stands on at least.
-LEARNED, LEARNED_PAGES = 4000, 3
+#: Pages without content on which a window stands at least from which the corpus teaches residue and furniture; bits of the filter of such windows.
+LEARNED_PAGES, FILTER = 3, 1 << 25
 #: Share of a learned window's pages that have content: below the first it is residue, above the second furniture.
 RARELY, USUALLY = 0.4, 0.6
 
@@ -61,11 +62,11 @@ TOKEN = re.compile(
     re.IGNORECASE | re.DOTALL,
 )
 DIGITS = re.compile(r"\d+")
-OPENING = frozenset("{[<%_@$&")
+#: What stands in every placeholder; of the marks below, at least two do.
+OPENING, TWICE = ("{", "[", "<", "@@", "__"), ("%", "$")
 DOTTED = re.compile(r"\w[\w-]*(?:\.[\w-]+)+")
 #: The end of a sentence, where the next begins.
-BREAK = re.compile(r"(?<=[.।!?…])\s+")
-OTHERS = re.compile(r"[.।!?…]\s")
+BREAK = re.compile(r"([.।!?…])\s+")
 
 # Seed texts, written for this purpose: what such pages say in general. A test asserts that no window of them stands in the tables.
 FILLER = """
@@ -139,17 +140,10 @@ MODELS = {"filler": FILLER, "notice": NOTICE, "template": TEMPLATE, "about": ABO
 def windows(text: str) -> list[str]:
     """The sentences of the lines, lower case, with digits as 0 and placeholders as one mark."""
     text = plain(text)
-    if not OPENING.isdisjoint(text):
+    if any(mark in text for mark in OPENING) or any(text.count(mark) > 1 for mark in TWICE) or ("&" in text and "&lt;" in text.lower()):
         text = TOKEN.sub(HOLE, text)
-    text = DIGITS.sub("0", text.lower())
-    out = []
-    for line in text.split("\n"):
-        if (line := line.strip()) != "":
-            if ". " in line or "। " in line or OTHERS.search(line):
-                out += BREAK.split(line)
-            else:
-                out.append(line)
-    return out
+    text = BREAK.sub("\\1\n", DIGITS.sub("0", text.lower()))
+    return [w for line in text.split("\n") if (w := line.strip())]
 
 
 @lru_cache(1)
@@ -170,13 +164,17 @@ def grams(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return slot, offsets
 
 
-def fitted_on(group: list[str]) -> np.ndarray:
-    """Log-likelihoods of grams under the model of these windows."""
-    counts = np.bincount(grams(group)[0], minlength=SLOTS).astype(np.float64)
+def fitted_from(counts: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of grams under the model of windows with these counts of grams."""
     n = max(counts.sum(), 1.0)
     return np.log((np.minimum(counts, 3) + UNSEEN * n / SLOTS) / (n * (1 + UNSEEN))).astype(np.float32)
 
 
+def fitted_on(group: list[str]) -> np.ndarray:
+    """Log-likelihoods of grams under the model of these windows."""
+    return fitted_from(np.bincount(grams(group)[0], minlength=SLOTS).astype(np.float64))
+
+
 def seed_windows(name: str) -> list[str]:
     return [w for line in MODELS[name].strip().split("\n") for w in windows(line)]
 
@@ -227,46 +225,112 @@ def counted_rows(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([h for _, h in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["window", "host", "n"])
 
 
-def count_batches(batches: Iterator[pa.RecordBatch], bare: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """Counts of the grams of prose, and after them of the pages with content on which each window of `bare` stands.
+def bit(window: str) -> int:
+    return zlib.crc32(window.encode("utf-8", "surrogatepass")) & (FILTER - 1)
+
 
-    Left out of prose are the windows of `bare`, and those with placeholders that aren't likelier to be about them.
+def prose_counts(group: list[str], often: np.ndarray | None = None) -> np.ndarray:
+    """Counts of the grams of windows that stand so often (once each if not given).
+
+    Left out are those with placeholders that aren't likelier to be about them, and what the seeds alone find likely.
     """
     own = seeded()
     about = own["about"] - own["template"]
     filler = np.maximum(own["filler"], own["notice"]) - np.maximum(own["about"], np.float32(-np.log(SLOTS)))
-    counts = np.zeros(SLOTS + len(bare), np.int64)
+    slot, offsets = grams(group)
+    lengths = np.diff(offsets)
+    lengths[-1] = len(slot) - offsets[-2]
+    plainly = np.add.reduceat(filler[slot], offsets[:-1]) <= 0
+    for k, w in enumerate(group):
+        if HOLE in w:
+            plainly[k] = float(about[slot[offsets[k] : offsets[k] + lengths[k]]].sum()) > 0
+    kept = np.repeat(plainly, lengths)
+    if often is None:
+        return np.bincount(slot[kept], minlength=SLOTS)
+    return np.rint(np.bincount(slot[kept], np.repeat(often, lengths)[kept], minlength=SLOTS)).astype(np.int64)
+
+
+def told_rows(rows: Counter, beside: Counter) -> pa.RecordBatch:
+    """Rows of windows: how often each stands as it is written, and beside content on how many pages (these without `written`)."""
+    keys = [*(k for k, _ in rows), *beside]
+    columns = [pa.nulls(len(keys), pa.int32()), pa.array(keys, pa.string()), pa.array([*(w for _, w in rows), *[None] * len(beside)], pa.string()), pa.array([*rows.values(), *beside.values()], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["slot", "window", "written", "n"])
+
+
+def count_batches(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, window, written, n): counts of the grams of prose by slot, and of the windows that the filter lets pass, which aren't counted as prose."""
+    counts = np.zeros(SLOTS, np.int64)
+    passed = bits.tobytes()
+    rows: Counter = Counter()
+    beside: Counter = Counter()
     for batch in batches:
         kept: list[str] = []
         for text in batch.column(0).to_pylist():
-            found = windows(text)
-            at = [bare.get(keyed(w)) for w in found]
-            known = {k for k in at if k is not None}
+            known = set()
+            for w in windows(text):
+                key = keyed(w)
+                h = bit(key)
+                if passed[h >> 3] >> (h & 7) & 1:
+                    rows[key, w] += 1
+                    known.add(key)
+                else:
+                    kept.append(w)
             if known and with_content(text):
-                counts[[SLOTS + k for k in known]] += 1
-            kept += [w for w, k in zip(found, at, strict=True) if k is None]
+                beside.update(known)
         for group in pieces(kept):
-            slot, offsets = grams(group)
-            lengths = np.diff(offsets)
-            lengths[-1] = len(slot) - offsets[-2]
-            plainly = np.add.reduceat(filler[slot], offsets[:-1]) <= 0  # what the seeds alone find likely isn't counted
-            holes = [k for k, w in enumerate(group) if HOLE in w]
-            for k in holes:
-                plainly[k] = float(about[slot[offsets[k] : offsets[k] + lengths[k]]].sum()) > 0
-            counts[:SLOTS] += np.bincount(slot[np.repeat(plainly, lengths)], minlength=SLOTS)
+            counts += prose_counts(group)
+        if len(rows) > 200_000:
+            yield told_rows(rows, beside)
+            rows.clear()
+            beside.clear()
+    yield told_rows(rows, beside)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.string()), pa.array(counts[at], pa.int64())], names=["slot", "window", "written", "n"])
+
+
+def missed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the grams of prose in windows (written, n) that the filter let pass though no page without content taught them."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        words, often, at = batch.column(0).to_pylist(), batch.column(1).to_numpy(), 0
+        for group in pieces(words):
+            counts += prose_counts(group, often[at : at + len(group)])
+            at += len(group)
+    yield sparse(counts)
+
+
+def taught_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What windows (window, n, beside) teach: counts of grams of prose, after them those of residue, after them those of furniture.
+
+    Windows hardly ever beside content are residue, the others furniture, which counts as prose; what the seeds find likely is no furniture.
+    """
+    own = seeded()
+    seeds = np.maximum(own["filler"], own["notice"]) - np.maximum(np.maximum(own["about"], own["furniture"]), np.float32(-np.log(SLOTS)))
+    counts = np.zeros(3 * SLOTS, np.int64)
+    for batch in batches:
+        for w, n, beside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            share = beside / (beside + n)
+            if HOLE in w or RARELY <= share < USUALLY:
+                continue
+            around = grams([w + " " * GRAM + w[: GRAM - 2]])[0][: len(w) + GRAM]  # with the gap to a window that begins alike
+            if share < RARELY:
+                np.add.at(counts, SLOTS + around, 1)
+            elif seeds[own_slots := grams([w])[0]].sum() < LEAST:
+                np.add.at(counts, 2 * SLOTS + around, 1)
+                np.add.at(counts, own_slots, beside + n)
     yield sparse(counts)
 
 
 class Judge:
     """Log-likelihoods of grams under each model, and what they make of a page."""
 
-    def __init__(self, prose: np.ndarray, residue: list[str], furniture: list[str]):
+    def __init__(self, prose: np.ndarray, residue: np.ndarray, furniture: np.ndarray):
         total = max(prose.sum(), 1.0)
         unseen = np.float32(np.log(UNSEEN / (1 + UNSEEN) / SLOTS))  # what no model knows speaks for none
         plainly = np.log((prose + PROSE_UNSEEN) / (total + PROSE_UNSEEN * SLOTS)).astype(np.float32)
         own = seeded()
-        notice = np.maximum(own["notice"], fitted_on(residue)) if residue else own["notice"]
-        around = np.maximum(own["furniture"], fitted_on(furniture)) if furniture else own["furniture"]
+        notice = np.maximum(own["notice"], fitted_from(residue)) if residue.any() else own["notice"]
+        around = np.maximum(own["furniture"], fitted_from(furniture)) if furniture.any() else own["furniture"]
         self.likely = np.stack([own["filler"], notice, np.maximum(plainly, unseen), own["about"], around], 1)
         self.template = own["template"] - np.maximum(plainly, own["about"])
 
@@ -317,36 +381,38 @@ class Judge:
         return out
 
 
-def learned(texts: DataFrame) -> list[tuple[str, int]]:
-    """The windows that stand on most pages without content, of several hosts, and on how many."""
+def learned(texts: DataFrame) -> DataFrame:
+    """(window, n): all windows that stand on enough pages without content, of several hosts, and on how many."""
     each = texts.mapInArrow(bare_batches, "window string, host string, n long").groupBy("window").agg(F.sum("n").alias("n"), F.min(F.coalesce("host", F.lit(""))).alias("low"), F.max(F.coalesce("host", F.lit(""))).alias("high"))
-    rows = each.filter((F.col("n") >= LEARNED_PAGES) & (F.col("low") < F.col("high"))).orderBy(F.desc("n"), "window").limit(LEARNED).collect()
-    return [(r["window"], r["n"]) for r in rows]
+    return cut(each.filter((F.col("n") >= LEARNED_PAGES) & (F.col("low") < F.col("high"))).select("window", "n"))
+
+
+def filter_of(bare: DataFrame) -> np.ndarray:
+    """A bit for each hash of a window, 64 to a number; its size is fixed, it lets all of these windows pass and few others."""
+    hashed = bare.select(F.crc32("window").bitwiseAND(F.lit(FILTER - 1)).alias("h"))
+    out = np.zeros(FILTER // 64, np.int64)
+    for row in hashed.groupBy(F.shiftright("h", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toLocalIterator():
+        out[row[0]] = row[1]
+    return out
 
 
 def fitted(pages: DataFrame) -> Judge:
-    """The prose model counts the grams of all texts; what comes to the driver has a fixed size."""
+    """The models of all texts and of all windows that the corpus teaches; what comes to the driver has a fixed size.
+
+    The pages are read past the filter; windows that pass it are looked up among the taught ones, and the few that aren't
+    there are counted as the prose they are.
+    """
     texts = spread(pages.select("text", "host").filter("text IS NOT NULL"))
     bare = learned(texts)
-    number = {w: k for k, (w, _) in enumerate(bare)}
-    shared = pages.sparkSession.sparkContext.broadcast(number)
-    both = total_of(texts.mapInArrow(lambda batches: count_batches(batches, shared.value), "slot int, n long"), "n", SLOTS + len(bare))
-    return judge(both[:SLOTS], bare, both[SLOTS:])
-
-
-def judge(prose: np.ndarray, bare: list[tuple[str, int]], beside: np.ndarray) -> Judge:
-    """The models out of the counts: windows hardly ever beside content are notices, the others furniture, which counts as prose; what the seeds find likely is no furniture."""
-    residue, furniture = [], []
-    own = seeded()
-    seeds = np.maximum(own["filler"], own["notice"]) - np.maximum(np.maximum(own["about"], own["furniture"]), np.float32(-np.log(SLOTS)))
-    for (w, n), content in zip(bare, beside, strict=True):
-        share = content / (content + n)
-        if share < RARELY and HOLE not in w:
-            residue.append(w)
-        elif share >= USUALLY and HOLE not in w and seeds[grams([w])[0]].sum() < LEAST:
-            furniture.append(w)
-            np.add.at(prose, grams([w])[0], content + n)
-    return Judge(prose, residue, furniture)
+    shared = pages.sparkSession.sparkContext.broadcast(filter_of(bare))
+    counted = texts.mapInArrow(lambda batches: count_batches(batches, shared.value), "slot int, window string, written string, n long")
+    both = cut(counted.groupBy("slot", "window", "written").agg(F.sum("n").alias("n")))
+    beside = both.filter("window IS NOT NULL AND written IS NULL").select("window", F.col("n").alias("beside"))
+    taught = bare.join(beside, "window", "left").select("window", "n", F.coalesce("beside", F.lit(0)).alias("beside"))
+    missed = both.filter("written IS NOT NULL").join(bare, "window", "left_anti").select("written", "n")
+    slots = both.filter("slot IS NOT NULL").select("slot", "n").unionByName(taught.mapInArrow(taught_batches, "slot int, n long")).unionByName(missed.mapInArrow(missed_batches, "slot int, n long"))
+    total = total_of(slots, "n", 3 * SLOTS)
+    return Judge(total[:SLOTS], total[SLOTS : 2 * SLOTS], total[2 * SLOTS :])
 
 
 def scored(pages: DataFrame) -> DataFrame:
