@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("weir.llm.registry")
 
-from weir.llm import blocks, encode, langs, mixing, mojibake, neighbours, reading, repeats, residue, tokens, unify  # noqa: E402
+from weir.llm import blocks, encode, langs, mixing, mojibake, neighbours, reading, registry, repeats, residue, tokens, unify  # noqa: E402
 from weir.llm.recurrent import Gru, Lstm  # noqa: E402
 
 PROSE = ["The water board thanked residents for their help with road repair.", "Rain damaged the old canal and cut off 12 households in Lamgaun.", "Forms for school meals can be handed in at the cooperative until the 5th.", "वडा कार्यालयले आइतबार सडक मर्मतका लागि ६४ जना कर्मचारी लिने भएको छ।", "शिक्षकको सहयोगका लागि कृषि केन्द्रले धन्यवाद दियो।"]
@@ -98,6 +98,14 @@ def test_every_window_of_the_corpus_teaches(spark):
     assert set(range(len(texts) - 4, len(texts))) <= got and not got & set(range(1000))
 
 
+def test_languages_leave_out_pages_of_every_taught_notice(spark, tmp_path):
+    texts, df = many_taught(spark)
+    df.write.parquet(f"{tmp_path}/crawled_documents.parquet")
+    df.select(F.col("id").alias("crawled_document_id"), F.lit("fr").alias("lang"), F.current_timestamp().alias("fetched_at")).write.parquet(f"{tmp_path}/page_records.parquet")  # wrong on every page
+    got = {r["id"] for r in registry.p4_found(spark, str(tmp_path)).collect()}
+    assert set(range(1000)) <= got and not got & set(range(len(texts) - 4, len(texts)))
+
+
 def test_windows_the_filter_lets_pass_wrongly_count_as_prose(spark):
     groups = [PROSE[0].lower(), PROSE[1].lower(), "fill in {{ name }} below"]
     whole = residue.prose_counts(groups)
