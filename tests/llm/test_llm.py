@@ -82,6 +82,12 @@ def test_the_corpus_teaches_notices(spark):
     assert {r["id"] for r in residue.excluded(df).collect()} == {*range(1000, 1005), *range(2000, 2005)}
 
 
+def test_texts_without_placeholders_are_not_searched_for_them(monkeypatch):
+    assert residue.windows("Pay 5 %. {{ a }} x! <b c\n%NAME% $HOME$ &LT;me&GT;") == ["pay 0 %.", "☐ x!", "<b c", "☐ ☐ ☐"]
+    monkeypatch.setattr(residue, "TOKEN", None)  # the search is what costs
+    assert residue.windows("A_b @ c & d.  E 100 % f!\n g $1 ") == ["a_b @ c & d.", "e 0 % f!", "g $0"]
+
+
 def many_taught(spark):
     """Pages of which 4,500 lines stand on more pages without content than the lines of one notice, of two hosts each."""
     notice = "Zulassung qwv brelm tordak\nhinwo skal prentu vokk ilra"
