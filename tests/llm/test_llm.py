@@ -112,6 +112,24 @@ def test_languages_leave_out_pages_of_every_taught_notice(spark, tmp_path):
     assert set(range(1000)) <= got and not got & set(range(len(texts) - 4, len(texts)))
 
 
+def test_languages_that_are_rare_in_the_corpus_are_learned(spark):
+    rare = {
+        "de": "der gemeinderat hat gestern beschlossen dass die straße zum bahnhof gesperrt wird weil das wasser nach dem regen über ufer trat",
+        "ne": "hamro gaunma aaja khanepani ko samasya badheko chha ra sabai manchhe haru dherai dukhi chhan tara karyalaya le kehi garena",
+        "hi": "सड़क की मरम्मत के लिए गाँव में किसान और शिक्षक आए थे लेकिन बारिश से पुल टूट गया है इसलिए बच्चे स्कूल नहीं जाते हैं",
+    }
+    few, want = [], {}
+    for language, words in rare.items():
+        for _ in range(6):
+            rng = random.Random(len(few))
+            want[len(few)] = language
+            few.append((len(few), "\n".join(" ".join(rng.choices(words.split(), k=12)) + "." for _ in range(3)), language))
+    many = spark.range(1000, 31000).select("id", F.when(F.col("id") % 2 == 0, "\n".join(PROSE[:3])).otherwise("\n".join(PROSE[3:])).alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("ne").alias("lang"))
+    df = spark.createDataFrame(few, "id long, text string, lang string").unionByName(many)
+    got = langs.stretches(df, df.select(F.col("id").alias("crawled_document_id"), "lang", F.current_timestamp().alias("fetched_at"))).filter("line_no = -1")
+    assert {r["id"]: (r["lang"], r["wrong"]) for r in got.filter("id < 1000 OR wrong").collect()} == {k: (v, False) for k, v in want.items()}
+
+
 def test_windows_the_filter_lets_pass_wrongly_count_as_prose(spark):
     groups = [PROSE[0].lower(), PROSE[1].lower(), "fill in {{ name }} below"]
     whole = residue.prose_counts(groups)

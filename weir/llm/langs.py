@@ -2,9 +2,10 @@
 
 A bidirectional gated recurrent network reads the bytes of each white-space piece and labels every position; it is trained
 in numpy by backpropagation through time on a bounded sample of pages, first under the languages their records declare,
-then again after pieces whose pages it doubts were weighed down. A piece's probabilities pool its positions and its neighbours
-in the line, a line's and a text's pool those of their pieces. As the recurrence runs within a piece, equal pieces are read
-once a task; over whole lines each byte of the corpus would have to be read, which is several times the work.
+then again after pieces whose pages it doubts were weighed down; no language is too rare to be in the sample. A piece's
+probabilities pool its positions and its neighbours in the line, a line's and a text's pool those of their pieces. As the
+recurrence runs within a piece, equal pieces are read once a task; over whole lines each byte of the corpus would have to be
+read, which is several times the work.
 
 Results: null and blank texts have no language, pieces without a letter none either. A text's language is the one with
 most probability over the words of its body lines (those that end as sentences and stand on the page beside others that do;
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from weir.llm.blocks import SENTENCE
 from weir.llm.common import sampled
 from weir.llm.plain import plain
 from weir.llm.recurrent import Adam, Gru, softmax, uniform
-from weir.session import spread
+from weir.session import cut, spread
 
 LANGUAGES = ("en", "ne", "hi", "de")
 #: What the network tells apart: the languages, and Nepali in Latin letters, which counts as the second.
@@ -38,6 +40,8 @@ NAMELESS = {"", "und", "unknown", "none", "null", "mul", "mis", "zxx", "xx", "x"
 
 #: Pages the network is trained on; steps of each round; pieces in a step.
 TRAIN_PAGES, STEPS, STEP = 2500, (600, 300, 500), 160
+#: Pages of each class for itself that are trained on too: all if it has no more, about half as many of a larger one; bytes a character below which a text is mostly in Latin letters.
+CLASS_PAGES, LATIN_BYTES = 100, 1.8
 #: Mean nats a word by which another language must fit better for a training line to be given to it.
 CLEAR = 0.4
 #: Width of a byte's vector and of each direction's state; bytes of a piece that are read at once.
@@ -183,11 +187,25 @@ class Texts:
         return softmax(near)[np.arange(len(label)), label], np.bincount(self.owner * len(LANGUAGES) + label, minlength=len(self.lines) * len(LANGUAGES)).reshape(-1, len(LANGUAGES))
 
 
+def sample_of(pages: DataFrame, langs: DataFrame) -> DataFrame:
+    """(id, text, lang) of pages whose record declares one of the languages, those with the smallest hash of their id.
+
+    Besides those among all such pages, those of each class alone are taken - of a language in its own script, and of Nepali
+    in Latin letters -, so that however many pages the others have, none goes untrained.
+    """
+    latin = F.octet_length("text") < LATIN_BYTES * F.char_length("text")
+    script = pages.filter(F.col("text").rlike(r"\S")).select("id", latin.alias("latin"))
+    kind = F.when(F.col("latin") == F.col("lang").isin("en", "de"), F.col("lang")).when(F.col("latin") & (F.col("lang") == "ne"), "ne-Latn")
+    known = cut(langs.filter(F.col("lang").isin(*LANGUAGES)).join(script, "id", "left").select("id", "lang", kind.alias("kind")))
+    sizes = {r["kind"]: r["count"] for r in known.groupBy("kind").count().collect()}
+    shares = [sampled(known.filter(F.col("kind") == k), "id", CLASS_PAGES, n) for k, n in sizes.items() if k]
+    few = reduce(DataFrame.unionByName, shares, sampled(known, "id", TRAIN_PAGES, sum(sizes.values()))).select("id", "lang").distinct()
+    return pages.select("id", "text").filter("text IS NOT NULL").join(F.broadcast(few), "id")
+
+
 def trained(pages: DataFrame, langs: DataFrame) -> Reader:
-    """A reader trained on the sample: pages whose record declares one of the languages, with the smallest hash of their id."""
-    known = langs.filter(F.col("lang").isin(*LANGUAGES))
-    few = sampled(known, "id", TRAIN_PAGES, known.count())
-    sample = sorted(pages.select("id", "text").filter("text IS NOT NULL").join(few, "id").collect(), key=lambda r: r["id"])
+    """A reader trained on the sample."""
+    sample = sorted(sample_of(pages, langs).collect(), key=lambda r: r["id"])
     reader, codes = Reader(), {}
     if not sample:
         return reader
